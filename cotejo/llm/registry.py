@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from cotejo.llm import quality_rules, sharding
+from cotejo.llm import exact_dedup, quality_rules, sharding
 
 QUERIES = {
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_sharding": sharding.op7_sharding,
 }
 
 ORACLE_SQL = {
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op7_sharding": sharding.OP7_SQL,
 }
