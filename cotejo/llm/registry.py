@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from cotejo.llm import bpe, exact_dedup, quality_rules, sharding
+from cotejo.llm import bpe, exact_dedup, license_scan, quality_rules, sharding
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_sharding": sharding.op7_sharding,
     "op8_bpe_automaton": bpe.op8_bpe_automaton,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 ORACLE_SQL = {
+    "op10_license_scan": license_scan.OP10_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op7_sharding": sharding.OP7_SQL,
