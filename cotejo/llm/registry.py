@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cotejo.llm import bpe, exact_dedup, license_scan, quality_rules, sharding
+from cotejo.llm import bpe, exact_dedup, license_scan, pii, quality_rules, sharding
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_pii": pii.op5_pii,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_sharding": sharding.op7_sharding,
     "op8_bpe_automaton": bpe.op8_bpe_automaton,
