@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from cotejo.llm import bpe, exact_dedup, license_scan, pii, quality_rules, sharding
+from cotejo.llm import best_fit, bpe, exact_dedup, length_buckets, license_scan, pii, quality_rules, sharding
 
 QUERIES = {
+    "op1_length_buckets": length_buckets.op1_length_buckets,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_pii": pii.op5_pii,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_sharding": sharding.op7_sharding,
     "op8_bpe_automaton": bpe.op8_bpe_automaton,
+    "op9_best_fit_packing": best_fit.op9_best_fit_packing,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 
