@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cotejo.llm import best_fit, bpe, exact_dedup, kneser_ney, length_buckets, license_scan, pii, quality_rules, sharding
+from cotejo.llm import best_fit, bpe, exact_dedup, kneser_ney, length_buckets, license_scan, ngram_join, pii, quality_rules, sharding
 
 QUERIES = {
     "op1_length_buckets": length_buckets.op1_length_buckets,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_kneser_ney": kneser_ney.op4_kneser_ney,
     "op5_pii": pii.op5_pii,
     "op6_quality_rules": quality_rules.op6_quality_rules,
