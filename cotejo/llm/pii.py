@@ -26,6 +26,7 @@ from cotejo.llm.common import read_table, stage_table, text_of
 KINDS = ("email", "ip", "card", "phone")
 
 WINDOW, SUPPORT, GENERALISE, REMOVE = 40, 2, 0.8, 0.98
+BROADCAST_TERMS = 500_000
 
 #: Stand-ins, one character each, for separators inside a match, so that a match is one character class. A text's own
 #: \x01 to \x03 become \x04 first; none of the patterns can hold them.
@@ -133,8 +134,13 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     entities = found.select("_row", F.explode("_spans").alias("s")).select("_row", F.concat("s.kind", F.lit(":"), "s.value").alias("entity")).distinct()
     entities = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_of(text_col)), r"[^\p{L}\p{N}]+"))).alias("term"))
-    asked = joint.select("term").distinct()
-    held = words.join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    asked = stage_table(joint.select("term").distinct(), "asked")
+    held = F.count(F.lit(1)).alias("n_term")
+    # Few asked terms, each shorter than WINDOW, go to the words; beyond the bound the words are counted before they are joined.
+    if asked.count() <= BROADCAST_TERMS:
+        held = words.join(F.broadcast(asked), "term", "left_semi").groupBy("term").agg(held)
+    else:
+        held = words.groupBy("term").agg(held).join(asked, "term", "left_semi")
     n_all = F.lit(found.count())
     share = F.log2(n_all * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log2(n_all / F.col("n_entity"))
     judged = (
