@@ -1,6 +1,6 @@
 """Best-fit-decreasing packing of token ids into fixed rows, with a segment tree over free capacities.
 
-Documents are encoded by the merge automaton, split losslessly into segments of at most `context` ids, and dealt by a hash of
+Documents are encoded by a byte-level vocabulary, whose ids give any text back, and split losslessly into segments of at most `context` ids, and dealt by a hash of
 their position to groups of bounded size; each group is packed by itself, so nothing grows with the input but the number of
 groups. Inside a group, segments come longest first (ties: doc_id, part) and go to the row with the least free space that
 holds them, found in a segment tree whose leaves are free capacities. A row keeps its segments' ids one after another, the
@@ -12,7 +12,7 @@ are packed one by one; an empty table gives an empty result; columns other than
 
 from __future__ import annotations
 
-import hashlib
+import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm.bpe import loaded, vocabulary_text
 from cotejo.llm.common import arrow_batches, read_table, shuffle_width, text_of
 
 CONTEXT, GROUP_ROWS = 2048, 4096
@@ -77,20 +76,36 @@ def best_fit_decreasing(lengths: list[int], context: int) -> list[list[int]]:
 _PACKED = "group int, row int, n_tokens int, doc_ids array<long>, parts array<int>, cu_seqlens array<int>, ids binary, positions binary"
 
 
+#: Fixed value: the word pattern of the public byte-level vocabulary.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_ENCODERS: dict[str, object] = {}
+
+
+def byte_encoder(file_text: str, pattern: str = WORDS):
+    """tiktoken's encoder for a file of "base64 rank" lines; one a worker process."""
+    import tiktoken
+
+    if pattern not in _ENCODERS:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(str.split, file_text.splitlines())}
+        _ENCODERS[pattern] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[pattern]
+
+
 def pack_ids(docs: DataFrame, vocabulary: str, context: int = CONTEXT, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packed rows: group, row, n_tokens, doc_ids, parts, cu_seqlens, ids and positions (little-endian uint32, `context` each,
     zero-padded). Reading all segments by (doc_id, part) gives every document's ids back."""
     spark = docs.sparkSession
     arrow_batches(spark, 1000)
     groups = max(-(-docs.count() // group_rows), 2 * shuffle_width(spark))
-    shared = spark.sparkContext.broadcast(vocabulary_text(vocabulary))
+    with open(vocabulary, encoding="ascii") as f:
+        shared = spark.sparkContext.broadcast(f.read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = loaded(shared.value)
+        encoder = byte_encoder(shared.value)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for group, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                ids = np.asarray(t.encode(text), "<u4")
+                ids = np.asarray(encoder.encode_ordinary(text), "<u4")
                 for part, start in enumerate(range(0, max(1, len(ids)), context)):
                     for column, x in zip(out, (group, doc, part, ids[start : start + context].tobytes())):
                         column.append(x)
@@ -125,5 +140,5 @@ def write_packed(packed: DataFrame, path: str) -> None:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    packed = pack_ids(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    packed = pack_ids(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return packed.select("group", "row", "n_tokens", "doc_ids", "parts", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))

@@ -60,7 +60,12 @@ class MergeAutomaton:
             self.parent.append(q), self.since.append(time), self.lost.append(y)
             self.target[x] = len(self.parent) - 1
             self.born[xy], self.left[xy], self.target[xy] = time, x, onward
-        self.longest = max((len(t) for t in vocab), default=1)
+        # Lengths that arcs have, longest first, by their first three symbols; shorter ones are always tried.
+        lengths: dict[str, set[int]] = {}
+        for t in vocab:
+            bare = t[: -len(suffix)] if suffix and t.endswith(suffix) else t
+            lengths.setdefault(bare[:3], {1, 2}).update({len(bare)} if len(bare) > 2 else ())
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
 
     def _has_arc(self, state: int, token: int) -> bool:
         while state:
@@ -83,28 +88,35 @@ class MergeAutomaton:
     def encode_word(self, symbols: str) -> list[int]:
         """Ids of one word in the byte alphabet; the word's last symbol carries the suffix. Longest arcs are tried first,
         and a (place, state) that led nowhere is not tried again."""
-        n, suffix, vocab = len(symbols), self.suffix, self.vocab
+        n, suffix, vocab, target, known = len(symbols), self.suffix, self.vocab, self.target, self.known
+        lengths, short = self.lengths, (2, 1)
         dead: set[tuple[int, int]] = set()
-        path: list[tuple[int, int, int, int]] = []  # place, state, next length to try, token taken
-        place, state, length = 0, 0, min(n, self.longest)
+        path: list[tuple[int, int, int, int]] = []  # place, state, tries so far, token taken
+        place, state, tried = 0, 0, 0
         while place < n:
             found = -1
-            while length > 0:
-                end = place + length
-                token = vocab.get(symbols[place:end] + suffix) if end == n else vocab.get(symbols[place:end])
-                length -= 1
-                if token is not None and token in self.target and self.step(state, token) and (end, self.target[token]) not in dead:
-                    found = token
-                    break
+            choices = lengths.get(symbols[place : place + 3], short)
+            for k in range(tried, len(choices)):
+                end = place + choices[k]
+                if end < n:
+                    token = vocab.get(symbols[place:end])
+                elif end == n:
+                    token = vocab.get(symbols[place:] + suffix)
+                else:
+                    continue
+                if token is not None and token in target:
+                    ok = known.get((state, token))
+                    if (self.step(state, token) if ok is None else ok) and not (dead and (end, target[token]) in dead):
+                        found, tried = token, k + 1
+                        break
             if found >= 0:
-                path.append((place, state, length, found))
-                place, state = end, self.target[found]
-                length = min(n - place, self.longest)
+                path.append((place, state, tried, found))
+                place, state, tried = end, target[found], 0
             else:
                 dead.add((place, state))
                 if not path:
                     raise ValueError(f"no accepted path for {symbols!r}")
-                place, state, length, _ = path.pop()
+                place, state, tried, _ = path.pop()
         return [p[3] for p in path]
 
     def emit(self, ids: list[int]) -> str:
