@@ -114,7 +114,7 @@ def _number_text(c: Column | str, currency: bool, strict: bool) -> Column:
     if currency and not strict:
         t = F.regexp_replace(t, r"^([+-]?)[A-Za-z€]{1,3}(?=[0-9+-])", "$1")
     elif currency:
-        t = F.regexp_replace(t, r"^([+-]?)(?:[A-Za-z]{0,2}\$|€|EUR|USD|BRL|ARS)(?=[0-9+-])", "$1")
+        t = F.regexp_replace(t, r"^([+-]?)(?:R|US|U|€|EUR|USD|BRL|ARS)(?=[0-9+-])", "$1")
     t = _decimal_point(t)
     return F.when(t.rlike(PLAIN_NUMBER), t)
 
