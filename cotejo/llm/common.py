@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,7 +39,31 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cotejo/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._cotejo_path = path
+    return stored
+
+
+def release(*stored: DataFrame) -> None:
+    """Delete tables of stage_table that no later plan reads, and let Spark drop the shuffle files of finished jobs."""
+    for df in stored:
+        path = getattr(df, "_cotejo_path", None)
+        if path:
+            jvm, spark = df.sparkSession._jvm, df.sparkSession
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    if stored:
+        stored[0].sparkSession._jvm.System.gc()
+
+
+#: Rows up to which a stored table of a few columns of bounded width is broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 4_000_000
+
+
+def small_side(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """stored, marked for broadcast if it has at most `rows` rows."""
+    return F.broadcast(stored) if stored.count() <= rows else stored
 
 
 def arrow_batches(spark: SparkSession, rows: int) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import stage_table
+from cotejo.llm.common import release, stage_table
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -28,15 +28,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) of long nodes to (node, label): each node that has an edge, and the least node of its component.
 
-    Each step writes its edges to the shared folder; the number of steps grows as the logarithm of the node count squared at
-    most, and is 2 or 3 for stars. Step counts and a hash of the edges tell when nothing changes any more.
+    Each step writes its edges to the shared folder; the number of steps grows at most as the square of the logarithm of the
+    node count, and is 1 or 2 for stars. It ends when every node has one parent and no parent has another.
     """
     now = stage_table(edges.filter("u <> v").select("u", "v").distinct(), "edges")
-    seen = None
     while True:
-        now = stage_table(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        before, now = now, stage_table(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")
+        release(before)
+        ends = now.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(now.select(F.col("v").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        mixed = ends.groupBy("n").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).filter("c > 1 OR (c > 0 AND p > 0)")
+        if not mixed.limit(1).count():
             break
-        seen = mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()

@@ -3,16 +3,21 @@
 A document is its set of distinct word n-grams, as 64-bit hashes. Let t be the threshold and e(n) = n - ceil(t n) the n-grams
 that a set of n may hold beyond a linked partner's. Then, for linked sets and any global order of n-grams,
 
-* the first e(n) + l n-grams of each, with l = e(n) / 2 + 1, share at least l(ceil(t n)) n-grams: these prefixes under the
-  hash order are the only n-grams that are moved;
-* within these prefixes, rarest first (document frequency in the prefixes, then hash), the sets share an n-gram among all but
-  the last l(ceil(t n)) - 1. n-grams held once cannot be shared and fill that second prefix first, so most sets end here;
-* the first e(n) + 1 n-grams share one under each further order; two multiplicative orders are checked on whole sets.
+* the first e(n) + l(n) n-grams of each, for any rising l, share at least l(ceil(t n)) n-grams;
+* within such prefixes, rarest first (document frequency in the prefixes, then hash), the sets share an n-gram among all but
+  the last l(ceil(t n)) - 1. n-grams held once cannot be shared and fill that second prefix first;
+* the first e(n) + 1 n-grams share one.
+
+Short prefixes under the hash order (l = e / 2 + 1) are moved for all sets: most sets hold too few shared n-grams and end
+here. Longer ones (l = 3 e + 1) under a second order are moved for the sets that are left; of them only the rarest shared
+n-grams, about a third, pair documents, so passages that many documents hold do not. A third order is checked pair by pair.
 
 A pair is a candidate only where all these filters meet, and is then verified on the whole sets. Texts of one set form a class
-and take part once. Links serve the components, so a pair inside one component need not be verified: each shared n-gram's
-documents are first compared to the most typical of them, in peeling rounds, and only pairs that are still in different
-components are then formed. No pair of different components that share an n-gram in the filters is left out.
+and take part once. The sets that share a rare n-gram meet as parity sketches of 512 bits: two sketches differ in at most as
+many bits as the sets in n-grams, so pairs that differ in more bits than a link allows are left out without loss, and without
+ever becoming rows. Links serve the components, so of the other pairs each set first names its closest in another component,
+twice, with components found in between; then all pairs that are still in different components are verified. A shared n-gram
+of many sets is cut into tiles of TILE sets, and each pair of tiles is a task's group.
 
 Defined results: null or empty text has no n-grams, links with nothing and is its own component; a text of fewer words than
 the n-gram length has its whole word sequence as one; rows that repeat a doc_id are separate documents of one component; a
@@ -31,15 +36,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import arrow_batches, read_table, stage_table, text_of
+from cotejo.llm.common import arrow_batches, read_table, release, small_side, stage_table, text_of
 from cotejo.llm.components import components
 
 #: Words an n-gram and least similarity in percent, for uses without a contract of their own.
 WORDS, PERCENT = 5, 80
 #: Odd multipliers of the further orders: n-gram x is ranked by x * m mod 2 ** 64.
-ORDERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-#: Peeling rounds before the remaining pairs are formed, and rows up to which identifiers are broadcast.
-ROUNDS, BROADCAST_ROWS = 6, 4_000_000
+SECOND, THIRD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: l(n) of the first and second prefixes, as SQL and Python over e.
+SHORT, LONG = "e div 2 + 1", "3 * e + 1"
+#: Rounds in which each set only names its closest, sets a tile holds, and sets compared to a tile at once.
+ROUNDS, TILE, STRIPE = 2, 2048, 256
+_SKETCH_WORDS = 8
 
 
 class _WordHashes(dict):
@@ -54,8 +62,13 @@ def spare(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def shared_least(n: int, percent: int) -> int:
-    return spare(n, percent) // 2 + 1
+def short_prefix(n: int, percent: int) -> int:
+    e = spare(n, percent)
+    return e + e // 2 + 1
+
+
+def long_prefix(n: int, percent: int) -> int:
+    return 4 * spare(n, percent) + 1
 
 
 def gram_set(text: str, words: int, hashes: dict[bytes, int]) -> np.ndarray:
@@ -92,7 +105,7 @@ def _sketch(words: int, percent: int):
                 n = len(grams)
                 sizes.append(n)
                 keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                prefixes.append(grams[: spare(n, percent) + shared_least(n, percent)] if n else grams)
+                prefixes.append(grams[: short_prefix(n, percent)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_at"), batch.column("_doc"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(prefixes)], ["_at", "_doc", "_n", "_class", "_prefix"]
             )
@@ -100,22 +113,117 @@ def _sketch(words: int, percent: int):
     return run
 
 
+def _first_by(grams: np.ndarray, multiplier: int, k: int) -> np.ndarray:
+    return grams[np.argpartition(grams * np.uint64(multiplier), k - 1)[:k]] if 0 < k < len(grams) else grams
+
+
+def _longer(words: int, percent: int):
+    """(_at, _text) to (_at, _n, _prefix): the prefix under the second order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            sets = [gram_set(t, words, hashes) for t in batch.column("_text").to_pylist()]
+            longer = [_first_by(s, SECOND, long_prefix(len(s), percent)) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("_at"), pa.array([len(s) for s in sets], pa.int64()), _lists(longer)], ["_at", "_n", "_prefix"])
+
+    return run
+
+
 def _whole(words: int, percent: int):
-    """(_at, _text) to (_at, _n, _set, _p0, _p1): the set, and its prefixes under the further orders."""
+    """(_at, _text) to (_at, _n, _set, _third, _sketch): the set, its prefix under the third order, its parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
             sets = [gram_set(t, words, hashes) for t in batch.column("_text").to_pylist()]
-            prefixes = []
-            for m in ORDERS:
-                own = []
-                for s in sets:
-                    k = spare(len(s), percent) + 1
-                    ranks = s * np.uint64(m)
-                    own.append(s[np.argpartition(ranks, k - 1)[:k]] if k < len(s) else s)
-                prefixes.append(_lists(own))
-            yield pa.RecordBatch.from_arrays([batch.column("_at"), pa.array([len(s) for s in sets], pa.int64()), _lists(sets), *prefixes], ["_at", "_n", "_set", "_p0", "_p1"])
+            third = [_first_by(s, THIRD, spare(len(s), percent) + 1) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("_at"), pa.array([len(s) for s in sets], pa.int64()), _lists(sets), _lists(third), pa.array(map(parity_sketch, sets), pa.binary())], ["_at", "_n", "_set", "_third", "_sketch"])
+
+    return run
+
+
+def parity_sketch(grams: np.ndarray) -> bytes:
+    """Bit b is the parity of the n-grams that fall on b."""
+    bits = np.bincount(((grams * np.uint64(SECOND)) >> np.uint64(55)).astype(np.int64), minlength=64 * _SKETCH_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def _closest(percent: int, every: bool):
+    """Rows (_tok, _i, _j, _tile, _at, _n, _sketch, _label), sorted by (_tok, _i, _j), to pairs (a, b) of different labels that
+    sketches and sizes allow to link: all of them, or for each set the closest."""
+
+    def stripe(left: np.ndarray, right: np.ndarray, at, n, sketch, label) -> tuple[np.ndarray, np.ndarray]:
+        """(whether left and right may link, bits in which they differ) for all pairs of a few left rows with all right ones."""
+        bits = np.zeros((len(left), len(right)), np.int32)
+        for w in range(_SKETCH_WORDS):
+            bits += np.bitwise_count(sketch[left, w][:, None] ^ sketch[right, w][None, :])
+        a, b = n[left][:, None].astype(np.int32), n[right][None, :].astype(np.int32)
+        # |A ^ B| = a + b - 2 o, and 100 o >= percent (a + b - o).
+        ok = bits <= (a + b) - 2 * -(-percent * (a + b) // (100 + percent))
+        ok &= (100 * a >= percent * b) & (100 * b >= percent * a) & (label[left][:, None] != label[right][None, :])
+        return ok, bits
+
+    def pairs_of(tile: np.ndarray, at: np.ndarray, n: np.ndarray, sketch: np.ndarray, label: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        first = np.arange(len(at)) if own else np.flatnonzero(tile == tile.min())
+        right = first if own else np.flatnonzero(tile != tile.min())
+        far = 1 << 20
+        best, near = np.full(len(right), far, np.int32), np.zeros(len(right), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for start in range(0, len(first), STRIPE):
+            left = first[start : start + STRIPE]
+            ok, bits = stripe(left, right, at, n, sketch, label)
+            if every:
+                if own:
+                    ok &= left[:, None] < right[None, :]
+                x, y = np.nonzero(ok)
+                found.append((at[left[x]], at[right[y]]))
+                continue
+            bits[~ok] = far
+            y = bits.argmin(1)
+            keep = bits[np.arange(len(left)), y] < far
+            found.append((at[left[keep]], at[right[y[keep]]]))
+            if not own:
+                x = bits.argmin(0)
+                least = bits[x, np.arange(len(right))]
+                better = least < best
+                best[better], near[better] = least[better], at[left[x[better]]]
+        if not every and not own:
+            found.append((near[best < far], at[right[best < far]]))
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def flush(table: pa.Table) -> pa.RecordBatch:
+            tok, i, j, tile, at, n, label = (table.column(c).to_numpy() for c in ("_tok", "_i", "_j", "_tile", "_at", "_n", "_label"))
+            sketch = np.frombuffer(b"".join(table.column("_sketch").to_pylist()), np.uint64).reshape(-1, _SKETCH_WORDS)
+            edges = np.flatnonzero((tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for start, end in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(tok)]])):
+                if end - start > 1:
+                    own = i[start] == j[start]
+                    if own or (tile[start:end] != tile[start]).any():
+                        x, y = pairs_of(tile[start:end], at[start:end], n[start:end], sketch[start:end], label[start:end], own)
+                        a.append(x), b.append(y)
+            found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            # A group that may go on in the next batch waits.
+            tok, i, j = (table.column(c).to_numpy() for c in ("_tok", "_i", "_j"))
+            last = (tok == tok[-1]) & (i == i[-1]) & (j == j[-1])
+            whole = len(tok) - int(last.sum())
+            rest = table.slice(whole)
+            if whole:
+                yield flush(table.slice(0, whole))
+        if rest is not None:
+            yield flush(rest)
 
     return run
 
@@ -125,68 +233,67 @@ def _rare_first(tokens: DataFrame, label: str) -> DataFrame:
     frequent = stage_table(tokens.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1"), f"{label}-df")
     shared = tokens.join(frequent, "_tok")
     per_set = shared.groupBy("_at", "_n", "_least").agg(F.collect_list(F.struct("_df", "_tok")).alias("_held")).filter(F.size("_held") >= F.col("_least"))
-    return stage_table(per_set, f"{label}-held")
+    held = stage_table(per_set, f"{label}-held")
+    release(frequent)
+    return held
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) that link: further prefixes first, then the whole sets."""
     def side(x: str) -> DataFrame:
-        return sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("_at", "_n", "_set", "_p0", "_p1")]).withColumnRenamed(f"_at_{x}", x)
+        return sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("_at", "_n", "_set", "_third")]).withColumnRenamed(f"_at_{x}", x)
 
     near = pairs.join(side("a"), "a").filter("a <> b").join(side("b"), "b")
-    near = near.filter(F.least("_n_a", "_n_b") * 100 >= F.greatest("_n_a", "_n_b") * percent).filter(F.arrays_overlap("_p0_a", "_p0_b") & F.arrays_overlap("_p1_a", "_p1_b"))
+    near = near.filter(F.least("_n_a", "_n_b") * 100 >= F.greatest("_n_a", "_n_b") * percent).filter(F.arrays_overlap("_third_a", "_third_b"))
     near = near.withColumn("_both", F.size(F.array_intersect("_set_a", "_set_b")))
     return near.filter(100 * F.col("_both") >= percent * (F.col("_n_a") + F.col("_n_b") - F.col("_both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _links(docs: DataFrame, sets_of: DataFrame, words: int, percent: int) -> DataFrame:
-    """(u, v): enough of the links between sets (_at, _n, _prefix) to connect every component."""
+def _components_of(docs: DataFrame, sets_of: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, label): the components of more than one set of sets_of (_at, _n, _prefix)."""
     spark = docs.sparkSession
-    need = F.expr(f"(ceil({percent} * _n / 100D) - ceil({percent} * ceil({percent} * _n / 100D) / 100D)) div 2 + 1").cast("long")
-    tokens = sets_of.select("_at", "_n", need.alias("_least"), F.explode("_prefix").alias("_tok"))
-    held = _rare_first(tokens, "all")
+
+    def tokens(prefixes: DataFrame, least: str) -> DataFrame:
+        e = f"(ceil({percent} * _n / 100D) - ceil({percent} * ceil({percent} * _n / 100D) / 100D))"  # of the least partner
+        return prefixes.select("_at", "_n", F.expr(least.replace("e", e, 1)).cast("long").alias("_least"), F.explode("_prefix").alias("_tok"))
+
+    def texts_of(held: DataFrame) -> DataFrame:
+        """Texts of the sets that are left, by position: a broadcast of their positions up to a bound, else a join."""
+        arrow_batches(spark, 1000)
+        return docs.select("_at", "_text").join(small_side(held.select("_at")), "_at", "left_semi")
+
+    short = _rare_first(tokens(sets_of, SHORT), "short")
+    longer = stage_table(texts_of(short).mapInArrow(_longer(words, percent), "_at long, _n long, _prefix array<long>"), "longer")
+    long = _rare_first(tokens(longer, LONG), "long")
+    release(short, longer)
     # Once more among the sets that are left: what only dropped sets held is no longer shared.
-    held = _rare_first(held.select("_at", "_n", "_least", F.explode("_held._tok").alias("_tok")), "left")
+    held = _rare_first(long.select("_at", "_n", "_least", F.explode("_held._tok").alias("_tok")), "left")
     order = F.sort_array("_held")
-    typical = F.aggregate("_held", F.lit(0).cast("long"), lambda a, x: a + x["_df"]) / F.size("_held")
-    bucketed = held.select("_at", "_n", typical.alias("_typical"), F.explode(F.slice(order, 1, F.size("_held") - F.col("_least").cast("int") + 1)).alias("t"))
-    bucketed = stage_table(bucketed.select("_at", "_n", "_typical", "t._tok"), "buckets")
-    ids = held.select("_at")
-    texts = docs.select("_at", "_text")
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    arrow_batches(spark, 1000)
-    sets = stage_table(texts.join(ids, "_at", "left_semi").mapInArrow(_whole(words, percent), "_at long, _n long, _set array<long>, _p0 array<long>, _p1 array<long>"), "sets")
-
+    bucketed = held.select("_at", "_n", F.explode(F.slice(order, 1, F.size("_held") - F.col("_least").cast("int") + 1)).alias("t"))
+    bucketed = stage_table(bucketed.select("_at", "_n", "t._tok"), "buckets")
+    sets = stage_table(texts_of(held).mapInArrow(_whole(words, percent), "_at long, _n long, _set array<long>, _third array<long>, _sketch binary"), "sets")
+
+    counts = bucketed.groupBy("_tok").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
+    tiled = bucketed.join(counts, "_tok").join(sets.select("_at", "_sketch"), "_at").withColumn("_tiles", F.expr(f"cast((_m + {TILE - 1}) div {TILE} AS int)"))
+    tiled = tiled.withColumn("_tile", F.pmod(F.xxhash64("_at"), F.col("_tiles")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    tiled = tiled.select("_tok", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"), "_tile", "_at", "_n", "_sketch")
+    tiled = stage_table(tiled, "tiles")
+    release(long, held, bucketed)
     links = spark.createDataFrame([], "u long, v long")
-    rest = bucketed.withColumn("_label", F.col("_at"))
-    for turn in range(ROUNDS):
-        leader = rest.groupBy("_tok").agg(F.max(F.struct("_typical", (-F.col("_at")).alias("x"))).alias("_l"), F.count(F.lit(1)).alias("_m")).filter("_m > 1")
-        leader = leader.select("_tok", (-F.col("_l.x")).alias("a"))
-        starred = rest.join(leader, "_tok")
-        pairs = starred.filter("a <> _at").select("a", F.col("_at").alias("b")).distinct()
-        pairs = stage_table(pairs, "stars")
-        if not pairs.limit(1).count():
-            return links
-        links = stage_table(links.unionByName(_verified(pairs, sets, percent)), "links")
-        labels = stage_table(components(links), "labels")
-        # What is not yet connected to its bucket's leader goes on to the next round.
-        named = bucketed.join(labels.withColumnRenamed("node", "_at"), "_at", "left").withColumn("_label", F.coalesce("label", "_at")).drop("label")
-        if turn == 0:
-            peeled = named
-        else:
-            peeled = rest.select("_at", "_tok").join(named, ["_at", "_tok"])
-        lead_label = leader.join(labels, F.col("a") == F.col("node"), "left").select("_tok", F.coalesce("label", "a").alias("_lead"))
-        rest = stage_table(peeled.join(lead_label, "_tok").filter("_label <> _lead").drop("_lead"), "rest")
-        sizes = named.groupBy("_tok", "_label").agg(F.count(F.lit(1)).alias("c")).groupBy("_tok").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        open_pairs = sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-        if open_pairs <= 4 * bucketed.count():
-            break
-    x = named.select("_tok", F.col("_at").alias("a"), F.col("_label").alias("_la"), F.col("_n").alias("_na"))
-    y = named.select("_tok", F.col("_at").alias("b"), F.col("_label").alias("_lb"), F.col("_n").alias("_nb"))
-    apart = x.join(y, "_tok").filter("_la < _lb").filter(F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent)
-    pairs = stage_table(apart.select("a", "b").distinct(), "apart")
-    return stage_table(links.unionByName(_verified(pairs, sets, percent)), "links")
+    labels = spark.createDataFrame([], "node long, label long")
+    for turn in range(ROUNDS + 1):
+        named = tiled.join(labels.withColumnRenamed("node", "_at"), "_at", "left").withColumn("_label", F.coalesce("label", "_at")).drop("label")
+        grouped = named.repartition("_tok", "_i", "_j").sortWithinPartitions("_tok", "_i", "_j")
+        pairs = stage_table(grouped.mapInArrow(_closest(percent, turn == ROUNDS), "a long, b long").distinct(), "pairs")
+        found = stage_table(_verified(pairs, sets, percent), "links")
+        release(pairs)
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            labels = stage_table(components(links), "labels")
+        elif turn < ROUNDS:
+            continue
+    release(tiled, sets)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,15 +303,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sketched = stage_table(texts.mapInArrow(_sketch(words, percent), "_at long, _doc long, _n long, _class binary, _prefix array<long>"), "sketch")
     least = F.min(F.struct(F.col("_doc").isNull().alias("none"), "_doc", "_at")).alias("_first")
     classes = stage_table(sketched.filter("_n > 0").groupBy("_class").agg(least).select("_class", F.col("_first._at").alias("_rep"), F.col("_first._doc").alias("_rep_doc")), "classes")
-    sets_of = sketched.join(classes.select(F.col("_rep").alias("_at")), "_at", "left_semi").select("_at", "_n", "_prefix")
-    links = _links(texts, sets_of, words, percent)
-    labels = components(links)
+    sets_of = sketched.join(small_side(classes).select(F.col("_rep").alias("_at")), "_at", "left_semi").select("_at", "_n", "_prefix")
+    labels = _components_of(texts, sets_of, words, percent)
+    slim = stage_table(sketched.drop("_prefix"), "sizes")
+    release(sketched)
     named = classes.join(labels.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("label", F.coalesce("label", "_rep"))
     named = stage_table(named, "named")
     head = named.groupBy("label").agg(F.min(F.struct(F.col("_rep_doc").isNull().alias("none"), "_rep_doc", "_rep")).alias("_head"))
     headed = stage_table(named.join(head, "label").select("_class", F.col("_head._rep_doc").alias("component_id"), F.col("_head._rep").alias("_keep")), "headed")
     alone = F.col("_n") == 0
-    return sketched.select("_at", "_doc", "_n", "_class").join(headed, "_class", "left").select(
+    release(named)
+    return slim.join(headed, "_class", "left").select(
         "_at",
         F.col("_doc").alias(id_col),
         F.col("_n").alias("n_shingles"),
@@ -215,7 +324,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs, a stored table, with one row of each component."""
-    gone = near_duplicates(docs, words, percent).filter("NOT first").select("_at")
+    gone = small_side(stage_table(near_duplicates(docs, words, percent).filter("NOT first").select("_at"), "gone"))
     return docs.withColumn("_at", F.monotonically_increasing_id()).join(gone, "_at", "left_anti").select(*docs.columns)
 
 
