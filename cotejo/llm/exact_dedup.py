@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import SPACE_CLASS, arrow_batches, read_table, stage_table, text_of
+from cotejo.llm.common import SPACE_CLASS, arrow_batches, read_table, release, small_side, stage_table, text_of
 
 #: Cut where the top CUT_BITS bits of the window's hash are 0: chunks of 2 ** CUT_BITS bytes on average, MIN to MAX long.
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 10, 256, 8192
@@ -110,6 +110,7 @@ def classes_of_equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: st
     contents = docs.select(norm.alias("_norm")).mapInArrow(_contents(digest_size), "_digest binary, _chunk binary")
     clashing = contents.distinct().groupBy("_digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     unverified = frozenset(bytes(r[0]) for r in clashing.select("_digest").limit(MAX_UNVERIFIED + 1).collect())
+    release(docs)
     if len(unverified) > MAX_UNVERIFIED:
         raise ValueError("digest_size is too small for this table")
     listed = stage_table(texts.mapInArrow(_recipes(digest_size, unverified), "_at long, _doc long, _sha string, _recipe binary"), "recipes")
@@ -128,7 +129,7 @@ def classes_of_equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 def drop_equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text an earlier-numbered row has; docs must be a stored table."""
-    gone = classes_of_equal_texts(docs, id_col, text_col).filter("NOT kept").select("_at")
+    gone = small_side(stage_table(classes_of_equal_texts(docs, id_col, text_col).filter("NOT kept").select("_at"), "gone"))
     return docs.withColumn("_at", F.monotonically_increasing_id()).join(gone, "_at", "left_anti").select(*docs.columns)
 
 

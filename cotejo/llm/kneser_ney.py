@@ -1,8 +1,8 @@
 """Quality classifier: interpolated modified Kneser-Ney n-grams of symbol classes, trained on trusted text.
 
 Texts are read as sequences of 32 symbol classes (letters without accents, space, digits, punctuation, other symbols), so a
-model of order 4 has at most 32 ** 4 n-grams a language whatever the corpus. All trusted text is counted; counts, continuation
-counts, context totals and lower orders are joined by their n-gram keys, sharded over the cluster. The finished tables, of
+model of order 4 has at most 32 ** 4 n-grams a language whatever the corpus. All trusted text is counted, sharded by language
+and n-gram; a language's counts, continuation counts, context totals and lower orders are then joined by n-gram. The tables, of
 proven size (4 MB a language for MAX_LANGS languages, the rest share one pooled model), are broadcast, and each document's
 perplexity is the exponential of its mean negative log probability over its whole text. Scoring by joining every n-gram
 occurrence instead would move about 12 bytes for each of 840 million places of a 0.5 GB table, 20 times the input.
@@ -26,12 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import arrow_batches, read_table, stage_table, text_of
+from cotejo.llm.common import arrow_batches, read_table, release, small_side, stage_table, text_of
 
 ORDER, BITS = 4, 5
 MAX_LANGS, MIN_DOCS, QUANTILE, MARGIN, SHORT = 32, 30, 0.995, 1.15, 2.5
-#: Rows of trusted ids up to which they are broadcast; beyond, the join shuffles.
-BROADCAST_IDS = 4_000_000
 POOLED = "*"
 #: Cross entropy in steps of 1/1000 nat; no table entry is below FLOOR.
 STEPS, FLOOR = 1000, 1e-9
@@ -94,66 +92,61 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trusted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, text) of the documents labelled of quality 1 and not toxic."""
     ids = stage_table(labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("_id")).distinct(), "trusted-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = small_side(ids)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
     return rows.join(ids, "_id", "left_semi").select("lang", "text")
 
 
-def _discounts(grams: DataFrame) -> DataFrame:
-    """lang, d1, d2, d3 of Chen and Goodman's closed form, each within 0 and its count."""
-    c = grams.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = "coalesce(n1 / nullif(n1 + 2 * n2, 0), 0.5D)"
-    return c.select("lang", *[F.expr(f"least({k}D, greatest(0D, coalesce({k} - {k + 1} * {y} * n{k + 1} / nullif(n{k}, 0), {k} * 0.5D)))").alias(f"d{k}") for k in (1, 2, 3)])
+def _discounts(n: np.ndarray) -> np.ndarray:
+    """D by count 0, 1, 2, 3 and more, of Chen and Goodman's closed form, each within 0 and its count."""
+    n1, n2, n3, n4 = (int((n == k).sum()) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
+    form = [k - (k + 1) * y * more / have if have else k * 0.5 for k, have, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return np.array([0.0, *[min(k, max(0.0, d)) for k, d in zip((1.0, 2.0, 3.0), form)]])
 
 
-def _interpolated(grams: DataFrame, lower: DataFrame | None, order: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, gram, p) of the seen n-grams and (lang, context, weight) of the seen contexts of one order."""
-    low = (1 << (BITS * (order - 1))) - 1
-    keyed = grams.select("lang", "gram", "n", F.shiftright("gram", BITS).alias("context"), F.col("gram").bitwiseAND(F.lit(low)).alias("suffix"))
-    keyed = keyed.join(F.broadcast(_discounts(grams)), "lang").withColumn("d", F.expr("CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END"))
-    contexts = keyed.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
-    seen = keyed.join(contexts, ["lang", "context"])
-    if lower is None:
-        seen = seen.withColumn("below", F.lit(1.0 / _SYMBOLS))
-    else:
-        seen = seen.join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
-    return seen.select("lang", "gram", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("below")).alias("p")), contexts.select("lang", "context", "weight")
+def fit(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log probability of each of the 32 ** ORDER n-grams, from the counts of the seen ones.
+
+    Lower orders count by how many symbols an n-gram is preceded. Every order joins its counts to its contexts' totals and to
+    the lower order by n-gram; here the keys are places of an array.
+    """
+    levels = {ORDER: (gram, n)}
+    for order in range(ORDER - 1, 0, -1):
+        shorter, preceded = np.unique(levels[order + 1][0] & ((1 << (BITS * order)) - 1), return_counts=True)
+        levels[order] = (shorter, preceded)
+    dense = np.full(1, 1.0 / _SYMBOLS)
+    for order in range(1, ORDER + 1):
+        seen, count = levels[order]
+        d = _discounts(count)[np.minimum(count, 3)]
+        context = seen >> BITS
+        total = np.bincount(context, count, 1 << (BITS * (order - 1)))
+        weight = np.where(total > 0, np.bincount(context, d, len(total)) / np.maximum(total, 1), 1.0)
+        places = np.arange(1 << (BITS * order))
+        dense = weight[places >> BITS] * dense[places & (len(dense) - 1)]
+        dense[seen] += np.maximum(count - d, 0) / total[context]
+    return np.log(np.maximum(dense, FLOOR)).astype("<f4")
+
+
+def _fit_language(table: pa.Table) -> pa.Table:
+    return pa.table({"lang": [table.column("lang")[0].as_py()], "model": pa.array([fit(table.column("gram").to_numpy(), table.column("n").to_numpy()).tobytes()], pa.binary())})
 
 
 def train(texts: DataFrame) -> dict[str, np.ndarray]:
-    """Log probabilities by language: arrays of 32 ** ORDER entries, unseen n-grams filled in by interpolation."""
+    """Log probabilities by language: arrays of 32 ** ORDER entries. A language's counts, of bounded number, meet in one task;
+    the pooled model counts all trusted text."""
     spark = texts.sparkSession
     arrow_batches(spark, 1000)
     docs_by = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(f"lang IS NOT NULL AND n >= {MIN_DOCS}")
     own = [r[0] for r in docs_by.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
     named = F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(POOLED))
     counted = texts.select(named.alias("lang"), "text").mapInArrow(_count, "lang string, gram long, n long")
-    # The pooled model counts all trusted text.
     grams = stage_table(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     pooled = grams.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
-    levels = {ORDER: stage_table(grams.filter(F.col("lang") != POOLED).unionByName(pooled), "grams-all")}
-    for order in range(ORDER - 1, 0, -1):  # continuation counts: by how many symbols an n-gram is preceded
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << (BITS * order)) - 1)).alias("gram")
-        levels[order] = levels[order + 1].groupBy("lang", shorter).agg(F.count(F.lit(1)).alias("n"))
-    lower, tables = None, []
-    for order in range(1, ORDER + 1):
-        seen, contexts = _interpolated(levels[order], lower, order)
-        lower = stage_table(seen, f"order{order}")
-        tables.append((lower.toPandas(), contexts.toPandas()))
-    langs = set(tables[-1][0]["lang"])
-    return {lang: _filled([(s[s.lang == lang], c[c.lang == lang]) for s, c in tables]) for lang in langs}
-
-
-def _filled(tables: list[tuple[pd.DataFrame, pd.DataFrame]]) -> np.ndarray:
-    dense = np.full(1, 1.0 / _SYMBOLS)
-    for order, (seen, contexts) in enumerate(tables, 1):
-        weight = np.ones(1 << (BITS * (order - 1)))
-        weight[contexts["context"].to_numpy(np.int64)] = contexts["weight"]
-        gram = np.arange(1 << (BITS * order))
-        dense = weight[gram >> BITS] * dense[gram & (len(dense) - 1)]
-        dense[seen["gram"].to_numpy(np.int64)] = seen["p"]
-    return np.log(np.maximum(dense, FLOOR)).astype(np.float32)
+    every = grams.filter(F.col("lang") != POOLED).unionByName(pooled)
+    models = every.groupBy("lang").applyInArrow(_fit_language, "lang string, model binary").collect()
+    release(grams)
+    return {r.lang: np.frombuffer(r.model, "<f4") for r in models}
 
 
 def cross_entropy(spark: SparkSession, model: dict[str, np.ndarray], lang: Column, text: Column) -> Column:
@@ -178,13 +171,20 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> dict[str, float
 
     Quantiles are exact on steps of 1/1000 nat, whose number does not depend on the input.
     """
-    steps = scored.filter("ce IS NOT NULL").groupBy("lang", F.floor(F.col("ce") * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    steps: dict[str, dict[int, int]] = {}
+    for lang, step, n in scored.filter("ce IS NOT NULL").groupBy("lang", F.floor(F.col("ce") * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect():
+        for name in {lang, POOLED} - {None}:
+            own = steps.setdefault(name, {})
+            own[step] = own.get(step, 0) + n
     bounds = {}
-    for lang, own in [*steps[steps.lang.notna()].groupby("lang"), (POOLED, steps)]:
-        own = own.groupby("step")["n"].sum().sort_index()
-        if len(own) and (own.sum() >= MIN_DOCS or lang == POOLED):
-            at = int(np.searchsorted(own.cumsum().to_numpy(), quantile * own.sum()))
-            bounds[lang] = (int(own.index[min(at, len(own) - 1)]) + 1) / STEPS + float(np.log(MARGIN))
+    for lang, own in steps.items():
+        total, passed = sum(own.values()), 0
+        for step in sorted(own):
+            passed += own[step]
+            if passed >= quantile * total:
+                break
+        if total >= MIN_DOCS or lang == POOLED:
+            bounds[lang] = (step + 1) / STEPS + float(np.log(MARGIN))
     return bounds
 
 

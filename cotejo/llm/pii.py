@@ -27,6 +27,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 WINDOW, SUPPORT, GENERALISE, REMOVE = 40, 2, 0.8, 0.98
 BROADCAST_TERMS = 500_000
+BROADCAST_CUTS = 2_000_000
 
 #: Stand-ins, one character each, for separators inside a match, so that a match is one character class. A text's own
 #: \x01 to \x03 become \x04 first; none of the patterns can hold them.
@@ -175,8 +176,12 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     step = f"if(-c.back <= a.at, a, struct(-c.back AS at, concat(a.out, array(if(c.start > a.at, substring(_text, a.at + 1, c.start - a.at), ''), if(c.put = '\u0005', {kind}, c.put))) AS out))"
     text = f"aggregate(_cuts, struct(0 AS at, cast(array() AS array<string>) AS out), (a, c) -> {step}, a -> concat(array_join(a.out, ''), substring(_text, a.at + 1)))"
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    changes = stage_table(changes.select("_row", F.expr(cuts).alias("_cuts")), "cuts")
+    # The cuts are broadcast up to a bound on their number over all documents, about 50 bytes each.
+    if (changes.agg(F.sum(F.size("_cuts"))).first()[0] or 0) <= BROADCAST_CUTS:
+        changes = F.broadcast(changes)
     return (
-        numbered.join(changes.select("_row", F.expr(cuts).alias("_cuts")), "_row", "left")
+        numbered.join(changes, "_row", "left")
         .withColumn("_text", text_of(text_col))
         .withColumn(text_col, F.expr(f"if(_cuts IS NULL, `{text_col}`, {text})"))
         .select(*docs.columns)
