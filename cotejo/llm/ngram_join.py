@@ -47,12 +47,14 @@ SECOND, THIRD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 SHORT, LONG = "e div 2 + 1", "3 * e + 1"
 #: Rounds in which each set only names its closest, sets a tile holds, and sets compared to a tile at once.
 ROUNDS, TILE, STRIPE = 2, 2048, 256
+#: n-grams of so few sets have all their pairs compared at once with those of others.
+FEW = 64
 _SKETCH_WORDS = 8
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -164,6 +166,20 @@ def _closest(percent: int, every: bool):
         ok &= (100 * a >= percent * b) & (100 * b >= percent * a) & (label[left][:, None] != label[right][None, :])
         return ok, bits
 
+    def neighbours(group: np.ndarray, at, n, sketch, label) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """All pairs that may link within groups 0, 1, ... of a few adjacent rows; rows of group -1 are not looked at."""
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for step in range(1, FEW):
+            x = np.flatnonzero((group[step:] == group[:-step]) & (group[step:] >= 0))
+            if not len(x):
+                break
+            y = x + step
+            x, y = (z[label[x] != label[y]] for z in (x, y))
+            total = n[x] + n[y]
+            near = (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent) & (np.bitwise_count(sketch[x] ^ sketch[y]).sum(1) <= total - 2 * -(-percent * total // (100 + percent)))
+            a.append(np.minimum(at[x[near]], at[y[near]])), b.append(np.maximum(at[x[near]], at[y[near]]))
+        return a, b
+
     def pairs_of(tile: np.ndarray, at: np.ndarray, n: np.ndarray, sketch: np.ndarray, label: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
         first = np.arange(len(at)) if own else np.flatnonzero(tile == tile.min())
         right = first if own else np.flatnonzero(tile != tile.min())
@@ -200,13 +216,14 @@ def _closest(percent: int, every: bool):
             tok, i, j, tile, at, n, label = (table.column(c).to_numpy() for c in ("_tok", "_i", "_j", "_tile", "_at", "_n", "_label"))
             sketch = np.frombuffer(b"".join(table.column("_sketch").to_pylist()), np.uint64).reshape(-1, _SKETCH_WORDS)
             edges = np.flatnonzero((tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for start, end in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(tok)]])):
-                if end - start > 1:
-                    own = i[start] == j[start]
-                    if own or (tile[start:end] != tile[start]).any():
-                        x, y = pairs_of(tile[start:end], at[start:end], n[start:end], sketch[start:end], label[start:end], own)
-                        a.append(x), b.append(y)
+            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(tok)]])
+            few = (ends - starts <= FEW) & (i[starts] == j[starts])
+            a, b = neighbours(np.repeat(np.where(few, np.arange(len(starts)), -1), ends - starts), at, n, sketch, label)
+            for start, end in zip(starts[~few], ends[~few]):
+                own = i[start] == j[start]
+                if own or (tile[start:end] != tile[start]).any():
+                    x, y = pairs_of(tile[start:end], at[start:end], n[start:end], sketch[start:end], label[start:end], own)
+                    a.append(x), b.append(y)
             found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
