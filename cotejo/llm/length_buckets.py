@@ -103,3 +103,38 @@ def pack_by_length(
 
 def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_by_length(read_table(spark, sf_dir, "documents"))
+
+
+#: The dynamic programme in SQL: a step of the recursion adds a boundary; `froms` keeps where each best choice came from.
+OP1_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM documents),
+parts AS (
+  SELECT doc_id, p AS part, p * {MAX_TOKENS} AS start, least({MAX_TOKENS}, n - p * {MAX_TOKENS}) AS n_tokens
+  FROM (SELECT doc_id, n, unnest(range(0, greatest(0, (n - 1) // {MAX_TOKENS}) + 1)) AS p FROM w)),
+h AS (SELECT greatest(1, n_tokens) AS l, count(*) AS c FROM parts GROUP BY 1),
+lists AS (SELECT list(l ORDER BY l) AS ls, list(c ORDER BY l) AS cs, count(*)::INT AS n FROM h),
+pre AS (SELECT ls, n, list_prepend(0, list_transform(range(1, n + 1), lambda j: list_sum(cs[1:j])))::BIGINT[] AS upto FROM lists),
+dp AS (
+  SELECT 0 AS k, list_prepend(0, list_transform(range(n), lambda j: 1000000000000000))::BIGINT[] AS best, []::BIGINT[][] AS froms FROM pre
+  UNION ALL
+  SELECT k + 1, list_prepend(0, list_transform(m, lambda x: list_min(x)))::BIGINT[],
+         list_append(froms, list_prepend(0, list_transform(m, lambda x: list_position(x, list_min(x)) - 1))::BIGINT[])
+  FROM (SELECT k, best, froms, n, list_transform(range(1, n + 1), lambda j: list_transform(range(0, j),
+          lambda i: CASE WHEN best[i + 1] < 1000000000000000 THEN best[i + 1] + (upto[j + 1] - upto[i + 1]) * ls[j] ELSE 1000000000000000 END)) AS m
+        FROM dp, pre WHERE k < least({BUCKETS}, n))),
+last AS (SELECT * FROM dp ORDER BY k DESC LIMIT 1),
+back AS (
+  SELECT k, n AS j, NULL::BIGINT AS b FROM last, pre
+  UNION ALL
+  SELECT back.k - 1, froms[back.k][j + 1]::INT, ls[j] FROM back, last, pre WHERE back.k > 0 AND j > 0),
+bounds AS (SELECT b, lag(b, 1, 0) OVER (ORDER BY b) AS low FROM back WHERE b IS NOT NULL),
+put AS (
+  SELECT p.*, b, greatest(1, {BATCH_TOKENS} // b) AS fit,
+         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || part), 1, 15))::BIGINT AS hash
+  FROM parts p JOIN bounds ON greatest(1, n_tokens) > low AND greatest(1, n_tokens) <= b),
+firsts AS (SELECT b, sum(batches) OVER (ORDER BY b) - batches AS first FROM (SELECT b, (count(*) + any_value(fit) - 1) // any_value(fit) AS batches FROM put GROUP BY b)),
+ranked AS (SELECT put.*, first, row_number() OVER (PARTITION BY put.b ORDER BY hash, doc_id, part) - 1 AS r FROM put JOIN firsts USING (b))
+SELECT doc_id, part::INT AS part, start::BIGINT AS start, n_tokens::INT AS n_tokens, b::INT AS bucket_tokens, (first + r // fit)::BIGINT AS batch, (r % fit)::INT AS slot,
+       (b - n_tokens)::INT AS padding FROM ranked
+"""

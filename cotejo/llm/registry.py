@@ -18,8 +18,10 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_length_buckets": length_buckets.OP1_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op3_ngram_join": ngram_join.OP3_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op7_sharding": sharding.OP7_SQL,
 }
