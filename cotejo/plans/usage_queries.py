@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.operators.keys import cell_table, overlap_frame, profile_frame, suggest_keys
+from cotejo.operators.filters import Filter
+from cotejo.operators.keys import overlap_frame, profile_frame, suggest_keys
 from cotejo.operators.keys import frequent_values as frequent
+from cotejo.operators.reconcile import Group, GroupFile, reconcile
 from cotejo.operators.retrieval import lexical_scores, split_documents
 from cotejo.operators.usage import by_origin, confidence, confusion, event_table, memory_mode, memory_table, summary, use_sequence
 from cotejo.plans.fixtures import bank, ledger, table
@@ -122,6 +124,28 @@ SELECT CASE WHEN o_orderkey % 20 IN (13, 14) THEN 'different' WHEN o_orderkey %
 """
 
 
+def ablation_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of keys whose state is right: complete, without tolerance, without the exclusion of voids."""
+    truth = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.expr("CASE WHEN o_orderkey % 20 IN (13, 14) THEN 'different' WHEN o_orderkey % 20 IN (16, 17) THEN 'only ledger' WHEN o_orderkey % 20 > 17 THEN 'only bank' ELSE 'equal' END").alias("truth"))
+    void = (Filter("status", "==", ("VOID",), as_numbers=False),)
+    out = None
+    for name, tolerance, filters in (("complete", 0.01, void), ("no tolerance", 0.0, void), ("no exclusion", 0.01, ())):
+        groups = [Group("ledger", (GroupFile("ledger", ledger(spark, sf_dir), ("key",), "digits"),)), Group("bank", (GroupFile("bank", bank(spark, sf_dir), ("ref",), "digits", filters),))]
+        m = reconcile(groups, [("amount", "amount")], tolerance).matrix
+        found = m.select("key", F.expr("CASE WHEN has_diff THEN 'different' WHEN in_all THEN 'equal' WHEN in_ledger THEN 'only ledger' ELSE 'only bank' END").alias("found"))
+        right = truth.join(found, "key", "full_outer").agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("truth") == F.col("found")).alias("n_right"))
+        row = right.select(F.lit(name).alias("variant"), "n_keys", "n_right", F.bround(100.0 * F.col("n_right") / F.col("n_keys"), 1).alias("accuracy"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+ABLATION_SQL = """
+WITH o AS (SELECT o_orderkey % 20 AS r FROM orders),
+v AS (SELECT 'complete' AS variant, count(*) AS n_keys, count(*) AS n_right FROM o UNION ALL SELECT 'no tolerance', count(*), count(*) FILTER (r NOT IN (11, 12)) FROM o UNION ALL SELECT 'no exclusion', count(*), count(*) FILTER (r <> 17) FROM o)
+SELECT *, round_even(100.0::DOUBLE * n_right / n_keys, 1) AS accuracy FROM v
+"""
+
+
 def pivot_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("band", F.col("user_id") % 10)
     wide = e.groupBy("band").pivot("event_type", ["click", "view", "purchase"]).agg(F.avg(F.round("value", 2).cast("decimal(18,2)")))
@@ -173,6 +197,7 @@ QUERIES = {
     "q_usage_by_origin": (usage_by_origin, USAGE_ORIGIN_SQL),
     "q_confidence": (usage_confidence, CONFIDENCE_SQL),
     "q_confusion_metrics": (confusion_metrics, CONFUSION_SQL),
+    "q_ablation_accuracy": (ablation_accuracy, ABLATION_SQL),
     "q_pivot_mean": (pivot_mean, PIVOT_SQL),
     "q_evaluation_means": (evaluation_means, MEANS_SQL),
     "q_frequent_values": (frequent_segments, FREQUENT_SQL),
