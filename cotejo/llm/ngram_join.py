@@ -290,12 +290,13 @@ def _components_of(docs: DataFrame, sets_of: DataFrame, words: int, percent: int
     bucketed = stage_table(bucketed.select("_at", "_n", "t._tok"), "buckets")
     sets = stage_table(texts_of(held).mapInArrow(_whole(words, percent), "_at long, _n long, _set array<long>, _third array<long>, _sketch binary"), "sets")
 
-    counts = bucketed.groupBy("_tok").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
+    # Stored, so that the join below meets two plain exchanges and a hot n-gram's rows can be split.
+    counts = stage_table(bucketed.groupBy("_tok").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1"), "bucket-sizes")
     tiled = bucketed.join(counts, "_tok").join(sets.select("_at", "_sketch"), "_at").withColumn("_tiles", F.expr(f"cast((_m + {TILE - 1}) div {TILE} AS int)"))
     tiled = tiled.withColumn("_tile", F.pmod(F.xxhash64("_at"), F.col("_tiles")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     tiled = tiled.select("_tok", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"), "_tile", "_at", "_n", "_sketch")
     tiled = stage_table(tiled, "tiles")
-    release(long, held, bucketed)
+    release(long, held, bucketed, counts)
     links = spark.createDataFrame([], "u long, v long")
     labels = spark.createDataFrame([], "node long, label long")
     for turn in range(ROUNDS + 1):
