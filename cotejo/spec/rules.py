@@ -55,8 +55,8 @@ class _Need:
 
 
 class _Compiler:
-    def __init__(self, layout: Layout, record: Record | None):
-        self.layout, self.record, self.needs = layout, record, []
+    def __init__(self, layout: Layout, record: Record | None, prefix: str = "_need"):
+        self.layout, self.record, self.needs, self.prefix = layout, record, [], prefix
 
     def typed(self, node: ast.expr, *kinds: str) -> Column:
         column, kind = self.compile(node)
@@ -189,7 +189,7 @@ class _Compiler:
             raise RuleError(f"{VALUE} takes the field of a record that occurs once at most")
         if len(rest) % 2 or (name == EXISTS and len(rest) < 2):
             raise RuleError(f"{name} takes pairs of field and value")
-        need = _Need(f"_need{len(self.needs)}", record.code, name, column)
+        need = _Need(f"{self.prefix}{len(self.needs)}", record.code, name, column)
         for f, v in zip(rest[::2], rest[1::2]):
             other = self._name_of(f, record)
             value = self.typed(v, _TYPE[record.field(other).kind])
@@ -260,3 +260,16 @@ def violations(rule: Rule, layout: Layout, frames: dict[str, DataFrame], spark:
     """(_line) of the records, or one row for the file, that break the rule."""
     done = evaluate(rule.expression, layout, rule.record if rule.scope == "record" else None, frames, spark)
     return done.filter(F.coalesce(~F.col("_result"), F.lit(False))).select("_line")
+
+
+def broken_rules(rules: list[Rule], layout: Layout, record: str | None, frames: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
+    """(_line, rule) for all rules of one record type, or of the file, in one pass over its frame."""
+    frame = frames[record] if record else spark.range(1).select(F.lit(0).cast("long").alias("_line"))
+    needs, marks = [], []
+    for i, rule in enumerate(rules):
+        compiler = _Compiler(layout, layout.record(record) if record else None, f"_need{i}_")
+        value = compiler.typed(parse_rule(rule.expression), "bool")
+        needs += compiler.needs
+        marks.append(F.when(F.coalesce(~value, F.lit(False)), F.lit(rule.id)))
+    done = _satisfy(frame, needs, frames)
+    return done.select("_line", F.explode(F.filter(F.array(*marks), lambda x: x.isNotNull())).alias("rule"))

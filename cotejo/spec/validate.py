@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.spec.layout import Layout
+from cotejo.spec.layout import Layout, Rule
 from cotejo.spec.readers import Parsed
-from cotejo.spec.rules import RuleError, violations
+from cotejo.spec.rules import broken_rules, check_rule
 
 FINDING = ("severity", "origin", "message", "line", "record_type", "field", "rule")
 
@@ -45,13 +45,15 @@ def validate(parsed: Parsed, layout: Layout, spark: SparkSession) -> DataFrame:
         wrong = parsed.frames[r.code].filter(F.size("_errors") > 0).select("_line", F.explode("_errors").alias("e"))
         frames.append(_finding(wrong, "field", F.col("e.message"), "_line", r.code, F.col("e.field")))
     frames.append(occurrences(parsed, layout, spark))
+    sound: dict[str | None, list[Rule]] = {}
     for rule in layout.rules:
-        said = rule.description or rule.expression
-        try:
-            broken = violations(rule, layout, parsed.frames, spark)
-        except RuleError as e:
-            frames.append(_finding(spark.range(1), "rule", str(e), None, rule.record, None, rule.id))
-            continue
-        own = rule.scope == "record"
-        frames.append(_finding(broken, "rule", said, "_line" if own else None, rule.record if own else None, None, rule.id))
+        faults = check_rule(rule, layout)
+        if faults:
+            frames.append(_finding(spark.range(1), "rule", faults[0], None, rule.record, None, rule.id))
+        else:
+            sound.setdefault(rule.record if rule.scope == "record" else None, []).append(rule)
+    for record, rules in sound.items():
+        broken = broken_rules(rules, layout, record, parsed.frames, spark)
+        said = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.id, r.description or r.expression)]), F.col("rule"))
+        frames.append(_finding(broken, "rule", said, "_line" if record else None, record, None, F.col("rule")))
     return reduce(lambda a, b: a.unionByName(b), frames)
