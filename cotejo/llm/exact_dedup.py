@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import SPACE_CLASS, arrow_batches, read_table, release, small_side, stage_table, text_of
+from cotejo.llm.common import SPACE_CLASS, arrow_batches, lean, read_table, release, small_side, stage_table, text_of
 
 #: Cut where the top CUT_BITS bits of the window's hash are 0: chunks of 2 ** CUT_BITS bytes on average, MIN to MAX long.
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 10, 256, 8192
@@ -83,7 +83,7 @@ def _recipes(digest_size: int, unverified: frozenset[bytes]):
             recipes = [b"".join(identifier(*c) for c in _chunks(t, digest_size)) for t in batch.column("_norm").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_at"), batch.column("_doc"), batch.column("_sha"), pa.array(recipes, pa.binary())], ["_at", "_doc", "_sha", "_recipe"])
 
-    return run
+    return lean(run)
 
 
 def _contents(digest_size: int):
@@ -94,7 +94,7 @@ def _contents(digest_size: int):
             found = {c for t in batch.column("_norm").to_pylist() for c in _chunks(t, digest_size)}
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([c for _, c in found], pa.binary())], ["_digest", "_chunk"])
 
-    return run
+    return lean(run)
 
 
 def classes_of_equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_size: int = 16) -> DataFrame:

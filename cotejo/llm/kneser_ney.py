@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import arrow_batches, read_table, release, small_side, stage_table, text_of
+from cotejo.llm.common import arrow_batches, give_back, lean, read_table, release, small_side, stage_table, text_of
 
 ORDER, BITS = 4, 5
 MAX_LANGS, MIN_DOCS, QUANTILE, MARGIN, SHORT = 32, 30, 0.995, 1.15, 2.5
@@ -140,7 +140,7 @@ def train(texts: DataFrame) -> dict[str, np.ndarray]:
     docs_by = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(f"lang IS NOT NULL AND n >= {MIN_DOCS}")
     own = [r[0] for r in docs_by.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
     named = F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(POOLED))
-    counted = texts.select(named.alias("lang"), "text").mapInArrow(_count, "lang string, gram long, n long")
+    counted = texts.select(named.alias("lang"), "text").mapInArrow(lean(_count), "lang string, gram long, n long")
     grams = stage_table(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     pooled = grams.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
     every = grams.filter(F.col("lang") != POOLED).unionByName(pooled)
@@ -154,14 +154,16 @@ def cross_entropy(spark: SparkSession, model: dict[str, np.ndarray], lang: Colum
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(langs: pd.Series, texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         tables = shared.value
         pooled = tables.get(POOLED)
-        out = []
-        for name, t in zip(langs, texts):
-            table = tables.get(name, pooled)
-            out.append(-float(table[gram_codes(t)].mean(dtype=np.float64)) if t and table is not None else None)
-        return pd.Series(out, dtype="float64")
+        for langs, texts in batches:
+            out = []
+            for name, t in zip(langs, texts):
+                table = tables.get(name, pooled)
+                out.append(-float(table[gram_codes(t)].mean(dtype=np.float64)) if t and table is not None else None)
+            yield pd.Series(out, dtype="float64")
+        give_back()
 
     return score(F.coalesce(lang.cast("string"), F.lit(POOLED)), text)
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import arrow_batches, read_table, release, small_side, stage_table, text_of
+from cotejo.llm.common import arrow_batches, lean, read_table, release, small_side, stage_table, text_of
 from cotejo.llm.components import components
 
 #: Words an n-gram and least similarity in percent, for uses without a contract of their own.
@@ -112,7 +112,7 @@ def _sketch(words: int, percent: int):
                 [batch.column("_at"), batch.column("_doc"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(prefixes)], ["_at", "_doc", "_n", "_class", "_prefix"]
             )
 
-    return run
+    return lean(run)
 
 
 def _first_by(grams: np.ndarray, multiplier: int, k: int) -> np.ndarray:
@@ -129,7 +129,7 @@ def _longer(words: int, percent: int):
             longer = [_first_by(s, SECOND, long_prefix(len(s), percent)) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("_at"), pa.array([len(s) for s in sets], pa.int64()), _lists(longer)], ["_at", "_n", "_prefix"])
 
-    return run
+    return lean(run)
 
 
 def _whole(words: int, percent: int):
@@ -142,7 +142,7 @@ def _whole(words: int, percent: int):
             third = [_first_by(s, THIRD, spare(len(s), percent) + 1) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("_at"), pa.array([len(s) for s in sets], pa.int64()), _lists(sets), _lists(third), pa.array(map(parity_sketch, sets), pa.binary())], ["_at", "_n", "_set", "_third", "_sketch"])
 
-    return run
+    return lean(run)
 
 
 def parity_sketch(grams: np.ndarray) -> bytes:
@@ -242,7 +242,7 @@ def _closest(percent: int, every: bool):
         if rest is not None:
             yield flush(rest)
 
-    return run
+    return lean(run)
 
 
 def _rare_first(tokens: DataFrame, label: str) -> DataFrame:
