@@ -54,7 +54,7 @@ def release(*stored: DataFrame) -> None:
             jvm, spark = df.sparkSession._jvm, df.sparkSession
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
+    give_back()
     if stored:
         stored[0].sparkSession._jvm.System.gc()
 

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,9 +150,8 @@ def train(texts: DataFrame) -> dict[str, np.ndarray]:
     return {r.lang: np.frombuffer(r.model, "<f4") for r in models}
 
 
-def cross_entropy(spark: SparkSession, model: dict[str, np.ndarray], lang: Column, text: Column) -> Column:
-    """Mean negative log probability of text's symbols in nats; null without symbols or model."""
-    shared = spark.sparkContext.broadcast(model)
+def cross_entropy(shared: Broadcast, lang: Column, text: Column) -> Column:
+    """Mean negative log probability of text's symbols in nats; null without symbols or model. shared: train()'s tables."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -194,16 +194,16 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """docs with _perplexity, _threshold (double) and _kept (boolean)."""
     spark = docs.sparkSession
     known = trusted(docs, labels, id_col, text_col, lang_col)
-    model = train(known)
+    shared = spark.sparkContext.broadcast(train(known))
     arrow_batches(spark, 1000)
     lang, text = F.col(lang_col), text_of(text_col)
-    bounds = thresholds(known.select("lang", cross_entropy(spark, model, F.col("lang"), F.col("text")).alias("ce")))
+    bounds = thresholds(known.select("lang", cross_entropy(shared, F.col("lang"), F.col("text")).alias("ce")))
     bound = F.lit(bounds.get(POOLED)).cast("double")
     for name, b in bounds.items():
         bound = F.when(lang == name, F.lit(b)).otherwise(bound)
     bound = bound + F.lit(SHORT) / F.sqrt(F.greatest(F.length(text), F.lit(1)))
     return (
-        docs.withColumn("_ce", cross_entropy(spark, model, lang, text))
+        docs.withColumn("_ce", cross_entropy(shared, lang, text))
         .withColumn("_perplexity", F.exp("_ce"))
         .withColumn("_threshold", F.exp(bound))
         .withColumn("_kept", (text != "") & F.coalesce(F.col("_ce") <= bound, F.lit(True)))
