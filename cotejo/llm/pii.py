@@ -1,14 +1,16 @@
 """Personal data: exact base spans, and information-theoretic sanitisation of terms, DataFrame operations only.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers. They are the protected entities. A
-term beside an entity discloses it as far as seeing the term tells that the entity is there: the pointwise mutual information
+term discloses an entity as far as seeing the term tells that the entity is there: the pointwise mutual information
 PMI(e, t) = log2(N n(e, t) / (n(e) n(t))) as a share of the entity's information content IC(e) = log2(N / n(e)), where n counts
-documents, n(t) all documents that hold the term, n(e, t) those that hold it beside the entity. A term at share GENERALISE or
-more is replaced by its kind of word, at share REMOVE or more it is removed; a term needs SUPPORT documents beside the entity,
-since fewer are no estimate. Terms elsewhere and documents without entities are left alone.
+documents, n(t) all documents that hold the term, n(e, t) those that hold both, wherever in the text. A term at share GENERALISE
+or more is replaced by its kind of word, at share REMOVE or more it is removed, in all its places in all documents, also those
+that do not print the entity; the greatest share over the entities counts. A term needs SUPPORT documents with the entity, since
+fewer are no estimate, so terms are not judged by entities of fewer documents. Words that overlap a base span go with it.
 
-Counts cover all documents. Pairs are formed between an entity and the WINDOW characters on either side, never between all
-terms of a document, so their number follows the text. Hot entities and terms are counted with partial aggregates.
+Counts cover all documents. Pairs are formed between the entities of a document and its distinct words outside of spans, for
+entities of SUPPORT documents at least, and counted with partial aggregates, so hot entities and terms are no task's burden.
+n(t) is asked only for pairs that could still reach GENERALISE with the n(t) of documents with entities, which is no loss.
 
 Defined results: null or empty text has no spans; repeated rows are counted and returned one by one; very long texts and long
 runs of digits or labels are matched by loops over character classes, without recursion; an empty table gives an empty result;
@@ -25,7 +27,7 @@ from cotejo.llm.common import read_table, stage_table, text_of
 #: Fixed values of the contract, in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
 
-WINDOW, SUPPORT, GENERALISE, REMOVE = 40, 2, 0.8, 0.98
+SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.98
 BROADCAST_TERMS = 500_000
 BROADCAST_CUTS = 2_000_000
 
@@ -100,71 +102,99 @@ def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 _TERM = r"[\p{L}\p{N}]+"
 
 
-def _beside(spans: str = "_spans") -> str:
-    """SQL: for each span, the whole words within WINDOW characters on either side: array<struct<entity, term, start, end>>.
+#: Stand-in for a base span, of the words' own class, so that what touches a span is one word with it.
+_HIDDEN = "\u0006"
 
-    A word that the window's edge may cut is left out, and so are words inside the span.
+
+def _words(text: Column) -> Column:
+    """The distinct words of text in lower case, and perhaps an empty one."""
+    return F.array_distinct(F.transform(F.split(text, rf"[^\p{{L}}\p{{N}}{_HIDDEN}]+"), F.lower))
+
+
+def _outside() -> str:
+    """SQL: _text with each of _spans, sorted, replaced by the stand-in; of overlapping ones the rest as well."""
+    text = f"translate(_text, '{_HIDDEN}', ' ')"
+    step = f"struct(greatest(a.at, s.end) AS at, concat(a.out, array(if(s.start > a.at, substring({text}, a.at + 1, s.start - a.at), ''), '{_HIDDEN}')) AS out)"
+    return f"aggregate(_spans, struct(0 AS at, cast(array() AS array<string>) AS out), (a, s) -> {step}, a -> concat(array_join(a.out, ''), substring({text}, a.at + 1)))"
+
+
+#: Put around the words that _places picks out.
+_MARK = "\u0007"
+
+
+def _places() -> str:
+    """SQL: the words of _text that _telling (term to share) holds and no span overlaps: array<struct<start, end, share>>.
+
+    Those words are marked and the text is cut at the marks, so the accumulator goes over the picked words and not over all.
     """
-    return f"""
-      flatten(transform({spans}, s -> array(
-        struct(concat(s.kind, ':', s.value) AS entity, greatest(s.start - {WINDOW}, 0) AS at,
-               substring(_text, greatest(s.start - {WINDOW}, 0) + 1, least(s.start, {WINDOW})) AS side),
-        struct(concat(s.kind, ':', s.value) AS entity, s.end AS at, substring(_text, s.end + 1, {WINDOW}) AS side))))"""
+    text = f"translate(_text, '{_MARK}', ' ')"
+    words = f"regexp_extract_all({text}, '({_TERM})', 1)".replace("\\", "\\\\")
+    gaps = f"split({text}, '{_TERM}', -1)".replace("\\", "\\\\")
+    marked = f"zip_with({gaps}, {words}, (g, w) -> concat(g, if(w IS NULL, '', if(_telling[lower(w)] IS NULL, w, concat('{_MARK}', w, '{_MARK}')))))"
+    end = "a.at + length(w)"
+    free = f"(_spans IS NULL OR NOT exists(_spans, s -> a.at < s.end AND s.start < {end}))"
+    out = f"if(a.i % 2 = 1 AND {free}, concat(a.out, array(struct(a.at AS start, {end} AS end, _telling[lower(w)] AS share))), a.out)"
+    zero = "struct(0 AS at, 0 AS i, cast(array() AS array<struct<start:int,end:int,share:double>>) AS out)"
+    return f"aggregate(split(array_join({marked}, ''), '{_MARK}', -1), {zero}, (a, w) -> struct({end} AS at, a.i + 1 AS i, {out} AS out), a -> a.out)"
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_raw"), F.monotonically_increasing_id().alias("_row"))
 
 
-def _side_terms() -> str:
-    """SQL over _sides: the terms of each side with their places."""
-    words = f"regexp_extract_all(x.side, '({_TERM})', 1)".replace("\\", "\\\\")
-    gaps = f"split(x.side, '{_TERM}', -1)".replace("\\", "\\\\")
-    step = "struct(a.at + length(a.g[a.i]) + length(w) AS at, a.i + 1 AS i, a.g AS g, concat(a.out, array(struct(x.entity AS entity, lower(w) AS term, a.at + length(a.g[a.i]) AS start, a.at + length(a.g[a.i]) + length(w) AS end))) AS out)"
-    zero = f"struct(x.at AS at, 0 AS i, {gaps} AS g, cast(array() AS array<struct<entity:string,term:string,start:int,end:int>>) AS out)"
-    return f"flatten(transform(_sides, x -> aggregate({words}, {zero}, (a, w) -> {step}, a -> a.out)))"
+def _few(stored: DataFrame) -> bool:
+    return stored.count() <= BROADCAST_TERMS
 
 
 def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(found, terms). found: _row, id_col, _spans of each row of docs; terms: _row, start, end, share of the disclosing terms."""
-    spanned = base_spans(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_raw"), F.monotonically_increasing_id().alias("_row")), "_raw")
-    sides = spanned.withColumn("_sides", F.expr(f"if(size(_spans) > 0, {_beside()}, NULL)"))
-    # A word that touches the window's outer edge or the span itself may be cut.
-    whole = "filter(_near, t -> NOT exists(_spans, s -> t.start < s.end AND s.start < t.end) AND (t.start = 0 OR NOT substring(_text, t.start, 1) RLIKE '[\\\\p{L}\\\\p{N}]') AND NOT substring(_text, t.end + 1, 1) RLIKE '[\\\\p{L}\\\\p{N}]')"
-    near = sides.withColumn("_near", F.expr(f"if(_sides IS NULL, NULL, {_side_terms()})")).withColumn("_near", F.expr(f"if(_near IS NULL, NULL, {whole})"))
-    found = stage_table(near.select("_row", F.col("_id").alias(id_col), "_spans", "_near"), "spans")
-    pairs = found.select("_row", F.explode("_near").alias("t")).select("_row", "t.entity", "t.term", "t.start", "t.end")
-    joint = pairs.select("_row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= SUPPORT)
-    joint = stage_table(joint, "joint")
-    entities = found.select("_row", F.explode("_spans").alias("s")).select("_row", F.concat("s.kind", F.lit(":"), "s.value").alias("entity")).distinct()
-    entities = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_of(text_col)), r"[^\p{L}\p{N}]+"))).alias("term"))
+    """(found, terms). found: _row, id_col, _spans of each row of docs; terms: _row, _terms of the rows that hold disclosing terms."""
+    rows = _numbered(docs, id_col, text_col)
+    spanned = base_spans(rows, "_raw").withColumn("_held", F.when(F.size("_spans") > 0, _words(F.expr(_outside()))))
+    held = F.filter("_held", lambda w: (w != "") & ~w.contains(_HIDDEN))
+    found = stage_table(spanned.select("_row", F.col("_id").alias(id_col), "_spans", held.alias("_held")), "spans")
+    n_all = found.count()
+    holders = found.filter("size(_spans) > 0").select(F.explode(F.array_distinct(F.expr("transform(_spans, s -> concat(s.kind, ':', s.value))"))).alias("entity"), "_held")
+    entities = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity").between(SUPPORT, n_all - 1))
+    entities = stage_table(entities, "entities")
+    pairs = holders.join(F.broadcast(entities) if _few(entities) else entities, "entity").select("entity", "n_entity", F.explode("_held").alias("term"))
+    joint = pairs.groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= SUPPORT)
+
+    def share(n_term: str) -> Column:
+        return F.log2(F.lit(n_all) * F.col("n_both") / (F.col("n_entity") * F.col(n_term))) / F.log2(F.lit(n_all) / F.col("n_entity"))
+
+    here = found.select(F.explode("_held").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_here")).filter(F.col("n_here") >= SUPPORT)
+    joint = stage_table(joint.join(here, "term").filter(share("n_here") >= GENERALISE).drop("n_here"), "joint")
+    words = rows.select("_row", F.explode(_words(text_of("_raw"))).alias("term"))
     asked = stage_table(joint.select("term").distinct(), "asked")
-    held = F.count(F.lit(1)).alias("n_term")
-    # Few asked terms, each shorter than WINDOW, go to the words; beyond the bound the words are counted before they are joined.
-    if asked.count() <= BROADCAST_TERMS:
-        held = words.join(F.broadcast(asked), "term", "left_semi").groupBy("term").agg(held)
-    else:
-        held = words.groupBy("term").agg(held).join(asked, "term", "left_semi")
-    n_all = F.lit(found.count())
-    share = F.log2(n_all * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log2(n_all / F.col("n_entity"))
-    judged = (
-        joint.join(entities, "entity").join(held, "term")
-        .filter(n_all > F.col("n_entity"))
-        .select("entity", "term", share.alias("share"))
-        .filter(F.col("share") >= GENERALISE)
+    # Few asked terms go to the words; beyond the bound the words are counted before they are joined.
+    few = _few(asked)
+    if few:
+        words = stage_table(words.join(F.broadcast(asked), "term", "left_semi"), "asked-words")
+    held = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    judged = joint.join(held, "term").select("term", share("n_term").alias("share")).filter(F.col("share") >= GENERALISE)
+    telling = stage_table(judged.groupBy("term").agg(F.max("share").alias("share")), "disclosure")
+    there = words.join(F.broadcast(telling) if few or _few(telling) else telling, "term")
+    there = stage_table(there.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_telling")), "telling")
+    # The terms of each document go to its text: broadcast up to a bound on their number over all documents.
+    if (there.agg(F.sum(F.size("_telling"))).first()[0] or 0) <= BROADCAST_CUTS:
+        there = F.broadcast(there)
+    marked = (
+        rows.join(there, "_row")
+        .join(found.filter("size(_spans) > 0").select("_row", "_spans"), "_row", "left")
+        .withColumn("_text", text_of("_raw"))
     )
-    judged = stage_table(judged, "disclosure")
-    terms = pairs.join(judged, ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("share").alias("share"))
-    return found, terms
+    return found.drop("_held"), marked.select("_row", F.expr(_places()).alias("_terms"))
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: _row (position), id_col, _spans (base), _terms (array<struct<start, end, share>>, sorted)."""
+    """One row per row of docs, a stored table: _row (position), id_col, _spans (base), _terms (array<struct<start, end, share>>, sorted)."""
     found, terms = disclosing_terms(docs, id_col, text_col)
-    gathered = terms.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("_terms"))
-    return found.drop("_near").join(gathered, "_row", "left")
+    return found.join(terms, "_row", "left")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, a stored table, with entities replaced by [KIND] and disclosing terms generalised or removed."""
-    changes = annotate(docs, id_col, text_col).filter("size(_spans) > 0 OR _terms IS NOT NULL")
+    changes = annotate(docs, id_col, text_col).filter("size(_spans) > 0 OR size(_terms) > 0")
     # Of overlapping spans the earlier start wins, then the longer; the rest of the later one is covered by the first's end.
     cuts = """
       sort_array(concat(

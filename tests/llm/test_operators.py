@@ -270,6 +270,18 @@ def test_telling_terms_are_removed(spark):
     assert "Zebulon" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == rows[4][1] and clean[99] == "Zebra crossing" and clean[100] is None
 
 
+def test_telling_terms_far_from_the_entity_go_everywhere(spark):
+    far = " and".join([" so the things of the river go on"] * 8)
+    rows = [(i, f"Zebulon said{far} to ann@example.org, says ZEBULON. Bob-ann@example.org") for i in range(4)]
+    rows += [(5, f"Zebulon, without the address{far}")] + [(10 + i, f"without the address said Bob to{far} says example number {i}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    found = {r.doc_id: [texts[r.doc_id][t.start : t.end] for t in r._terms] for r in pii.annotate(docs).collect() if r._terms}
+    assert found == {0: ["Zebulon", "ZEBULON"], 1: ["Zebulon", "ZEBULON"], 2: ["Zebulon", "ZEBULON"], 3: ["Zebulon", "ZEBULON"], 5: ["Zebulon"]}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "zebulon" not in " ".join(clean.values()).lower() and clean[10] == texts[10]
+
+
 def test_personal_data_of_hard_rows(hard, empty):
     rows = {r.doc_id: r for r in pii.annotate(hard).collect()}
     assert [s.kind for s in rows[None]._spans] == ["email", "phone", "ip", "card"]
