@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from cotejo.operators.controls import Control, with_controls
 from cotejo.operators.filters import Filter
-from cotejo.operators.keys import keys_are_clear, suggest_comparisons, suggest_keys, suggest_pair_key
+from cotejo.operators.keys import key_strength, keys_are_clear, suggest_comparisons, suggest_keys, suggest_pair_key
 from cotejo.operators.lookup import Lookup, apply_lookups, lookup_order, match_rates
 from cotejo.operators.pairs import reconcile_pair
 from cotejo.operators.reconcile import Group, GroupFile, build, group_statistics, reconcile
@@ -174,3 +174,13 @@ def test_pair_suggestions(spark):
     b = spark.range(50).select(F.col("id").cast("string").alias("numero_comprobante"), F.lit("b").alias("y"))
     assert [(p.left, p.right) for p in suggest_pair_key(a, b)] == [("comprobante", "numero_comprobante")]
     assert suggest_comparisons(["k", "importe_total"], ["r", "importe total"], ["k"], ["r"]) == [("importe_total", "importe total")]
+
+
+def test_keys_are_judged_on_all_rows(spark):
+    # One hot key holds the first 10,000 of 40,000 rows.
+    key = F.when(F.col("id") < 10_000, F.lit(1_000_000)).otherwise(F.col("id") + 1_000_000).cast("string")
+    a = spark.range(0, 40_000, 1, 1).select(key.alias("nro_factura"))
+    b = spark.range(0, 40_000, 1, 1).select(key.alias("comprobante"))
+    found = suggest_keys([a, b])
+    assert [k.column for k in found] == ["nro_factura", "comprobante"] and keys_are_clear(found)
+    assert key_strength(a, ["nro_factura"], b, ["comprobante"], "exact") == 1.0
