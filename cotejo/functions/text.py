@@ -1,17 +1,16 @@
 """Cleaning of untyped text cells: trimming, key normal forms, locale-tolerant numbers.
 
-All are JVM-side Column expressions. The only Python one is `fold_exact`, for scripts beyond the translation table.
+All are JVM-side Column expressions.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Cells that mean "nothing here" once trimmed and lower-cased.
 EMPTY_WORDS = ("nan", "none", "<na>")
@@ -26,52 +25,55 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: White space of any script, as a list for trimming; the file separators U+001C to U+001F count.
+WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column | str) -> Column:
     """Without white space of any script at the ends."""
-    return F.regexp_replace(_col(c).cast("string"), r"(?U)^\s+|\s+$", "")
+    return F.trim(_col(c).cast("string"), F.lit(WHITE))
 
 
 def clean(c: Column | str) -> Column:
     """Trimmed text; null and words for nothing become ""."""
-    t = F.coalesce(strip(c), F.lit(""))
-    return F.when(F.lower(t).isin(*EMPTY_WORDS), F.lit("")).otherwise(t)
+    words = "|".join(EMPTY_WORDS)
+    return F.regexp_replace(F.coalesce(strip(c), F.lit("")), rf"(?i)\A(?:{words})\z", "")
 
 
 def is_blank(c: Column | str) -> Column:
-    return _col(c).isNull() | (strip(c) == "")
+    return F.coalesce(strip(c), F.lit("")) == ""
 
 
 def without_zeros(t: Column) -> Column:
     """Without leading zeros; only zeros leave one."""
-    cut = F.regexp_replace(t, "^0+", "")
-    return F.when((cut == "") & (t != ""), F.lit("0")).otherwise(cut)
+    return F.regexp_replace(t, r"(?s)\A0+(?=.)", "")
 
 
 @cache
-def _fold_table() -> tuple[str, str]:
-    """Characters whose compatibility form has exactly one ASCII character, and that character, from the Unicode data."""
-    pairs = []
-    for point in [*range(0x80, 0x2200), *range(0xFF01, 0xFF5F)]:
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility form has one ASCII character, those characters, and the longer forms, from the Unicode data."""
+    short, long = [], {}
+    for point in [*range(0x80, 0xD800), *range(0xF900, 0x20000)]:
         c = chr(point)
         plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
         if len(plain) == 1:
-            pairs.append((c, plain))
-    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+            short.append((c, plain))
+        elif plain:
+            long[c] = plain
+    return "".join(p[0] for p in short), "".join(p[1] for p in short), long
 
 
 def fold(t: Column) -> Column:
-    """ASCII upper case without accents and white space. Characters with longer forms are dropped; see fold_exact."""
-    ascii_text = F.regexp_replace(F.translate(t, *_fold_table()), r"[^\x00-\x7F]", "")
+    """ASCII upper case without accents and white space, by compatibility forms. Texts with characters of longer forms (ligatures,
+    fractions) are few; only they are spelled out character by character."""
+    one, plain, long = _fold_tables()
+    short = F.translate(t, one, plain)
+    forms = F.create_map(*[F.lit(x) for pair in long.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(short, ""), lambda c: F.coalesce(forms[c], c)), "")
+    ascii_text = F.regexp_replace(F.when(short.rlike(r"[^\x00-\x7F]"), spelled).otherwise(short), r"[^\x00-\x7F]", "")
     return F.regexp_replace(F.upper(ascii_text), r"\s+", "")
 
 
-@F.pandas_udf(StringType())
-def fold_exact(t: pd.Series) -> pd.Series:
-    """fold for every script, in Arrow batches, on distinct values."""
-    forms = {v: "".join(unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode().upper().split()) for v in t.dropna().unique()}
-    return t.map(forms)
-
-
 def key_form(c: Column | str, form: str) -> Column:
     """A key part in one of KEY_FORMS; never null."""
     t = clean(c)
@@ -97,26 +99,30 @@ def pair_key(columns: list[str]) -> Column:
     return F.concat_ws(KEY_SEPARATOR, *parts)
 
 
-def _decimal_point(t: Column) -> Column:
-    """The last of comma and point is the decimal mark; commas alone are decimal marks."""
-    both = t.contains(",") & t.contains(".")
-    comma_last = t.rlike(r",[^.]*$")
-    return (
-        F.when(both & comma_last, F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(both, F.replace(t, F.lit(","), F.lit("")))
-        .when(t.contains(","), F.replace(t, F.lit(","), F.lit(".")))
-        .otherwise(t)
-    )
+#: One grammar of numbers for cells and for values that the user gives. White space and "$" count for nothing, a currency may
+#: stand before the digits, and the last of comma and point is the decimal mark: marks of the other kind before it are dropped.
+_EXPONENT = r"(?:[eE][+-]?[0-9]+)?"
+_ANY_CURRENCY = r"^([+-]?)[A-Za-z€]{1,3}(?=[0-9+-])"
+_KNOWN_CURRENCY = r"^([+-]?)(?:R|US|U|€|EUR|USD|BRL|ARS)(?=[0-9+-])"
+_GROUP_MARKS = rf"\.(?=[0-9.]{{0,400}},[0-9]*{_EXPONENT}$)|,(?=[0-9,]{{0,400}}\.[0-9]*{_EXPONENT}$)"
 
 
 def _number_text(c: Column | str, currency: bool, strict: bool) -> Column:
-    t = F.regexp_replace(_col(c).cast("string"), r"(?U)[\s$]" if currency else r"(?U)\s", "")
-    if currency and not strict:
-        t = F.regexp_replace(t, r"^([+-]?)[A-Za-z€]{1,3}(?=[0-9+-])", "$1")
-    elif currency:
-        t = F.regexp_replace(t, r"^([+-]?)(?:R|US|U|€|EUR|USD|BRL|ARS)(?=[0-9+-])", "$1")
-    t = _decimal_point(t)
-    return F.when(t.rlike(PLAIN_NUMBER), t)
+    """The number as a plain text, or "" or null. Every step names its input once, so plans stay short; plain numbers, the
+    most frequent cells, take the first branch."""
+    raw = _col(c).cast("string")
+    t = F.regexp_replace(raw, r"(?U)[\s$]" if currency else r"(?U)\s", "")
+    if currency:
+        t = F.regexp_replace(t, _KNOWN_CURRENCY if strict else _ANY_CURRENCY, "$1")
+    t = F.translate(F.regexp_replace(t, _GROUP_MARKS, ""), ",", ".")
+    return F.when(raw.rlike(PLAIN_NUMBER), raw).otherwise(F.regexp_extract(t, PLAIN_NUMBER, 0))
+
+
+def number_of(text: str) -> float | None:
+    """The number that a cell of this text holds, on the driver."""
+    t = re.sub(_ANY_CURRENCY, r"\1", "".join(c for c in str(text) if c != "$" and not c.isspace()))
+    t = re.sub(_GROUP_MARKS, "", t).replace(",", ".")
+    return float(t) if re.search(PLAIN_NUMBER, t) else None
 
 
 def parse_number(c: Column | str, currency: bool = True, strict: bool = False) -> Column:

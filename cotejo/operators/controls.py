@@ -27,12 +27,9 @@ class Control:
 
     def state(self) -> Column:
         """NO_DATA if a side is blank; numbers within the tolerance, or equal text but for case and white space, MATCH."""
-        a, b = clean(self.left), clean(self.right)
-        x, y = parse_number(a), parse_number(b)
-        near = F.abs(x - y) <= F.lit(float(self.tolerance) + EPSILON)
-        squeezed = [F.regexp_replace(F.upper(t), r"(?U)\s+", "") for t in (a, b)]
-        equal = F.when(x.isNotNull() & y.isNotNull(), near).otherwise(squeezed[0] == squeezed[1])
-        return F.when((a == "") | (b == ""), F.lit(NO_DATA)).when(equal, F.lit(MATCH)).otherwise(F.lit(DIFFERS))
+        a, b = (F.regexp_replace(F.upper(clean(c)), r"(?U)\s+", "") for c in (self.left, self.right))
+        near = F.abs(parse_number(self.left) - parse_number(self.right)) <= F.lit(float(self.tolerance) + EPSILON)
+        return F.when((a == "") | (b == ""), F.lit(NO_DATA)).when(F.coalesce(near, a == b), F.lit(MATCH)).otherwise(F.lit(DIFFERS))
 
     def applies(self, columns: list[str]) -> bool:
         return self.left in columns and self.right in columns

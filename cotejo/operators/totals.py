@@ -100,9 +100,7 @@ class Totals:
         found = None
         for i, t in enumerate(self.thresholds):
             if t.values:
-                # Whether categories compare as numbers is asked of the distinct categories.
                 by = Filter(self.category, "==", t.values)
-                by = by.settled(df.select(trimmed.alias(self.category)).distinct()) if by.all_numbers else Filter(self.category, "==", t.values, as_numbers=False)
                 here = by.mask()
             else:
                 here = F.lit(True)
@@ -130,14 +128,13 @@ def apply_totals(df: DataFrame, spec: Totals) -> TotalsResult:
     keys = [c for c in spec.group_by if c in df.columns]
     marked = df.withColumns({"_value": spec.value(df.columns)} | {f"_k{i}": F.coalesce(strip(c), F.lit("")) for i, c in enumerate(keys)})
     names = [f"_k{i}" for i in range(len(keys))]
-    divided = marked.filter(F.col("_value").isNull()).select(*df.columns, F.lit(DIVISION).alias("reason"))
-    sound = marked.filter(F.col("_value").isNotNull())
+    # Only a division can leave a row without value; else a filter on it would only form the value twice.
+    divides = any(t.operation == "/" for t in spec.terms[1:])
+    divided = marked.filter(F.col("_value").isNull() if divides else F.lit(False)).select(*df.columns, F.lit(DIVISION).alias("reason"))
+    sound = marked.filter(F.col("_value").isNotNull()) if divides else marked
     totals = sound.groupBy(*names).agg(_total(spec.function).alias("_total"))
-    if names:
-        joined = sound.join(totals, names)
-    else:  # one row, whatever the input
-        row = totals.first()
-        joined = sound.withColumn("_total", F.lit(row[0] if row else None).cast("double"))
+    # Without keys the totals are one row, whatever the input.
+    joined = sound.join(totals, names) if names else sound.join(F.broadcast(totals.withColumn("_one", F.lit(0))), F.expr("_one = 0")).drop("_one")
     index = spec._assigned(sound)
     texts, met = F.lit(""), F.lit(False)
     for i, t in reversed(list(enumerate(spec.thresholds))):
@@ -158,7 +155,9 @@ def apply_totals(df: DataFrame, spec: Totals) -> TotalsResult:
     good = judged.filter("_passes")
     auxiliary = {VALUE: "_value", TOTAL: "_total"} | ({THRESHOLD: "_text"} if spec.condition != "none" else {}) | ({CATEGORY: "_category"} if spec.condition == "category" else {})
     if spec.output == "summary" and keys:
-        return TotalsResult(_summary(good, df.columns, spec, keys, names, auxiliary), excluded, report, spec.formula)
+        alone = spec.condition in ("none", "single")
+        rows = _summary(sound if alone else good, df.columns, spec, keys, names, auxiliary, alone)
+        return TotalsResult(rows, excluded, report, spec.formula)
     taken = list(df.columns)
     extra = []
     for a, c in auxiliary.items():
@@ -177,38 +176,36 @@ def last_value(c: str, position: str) -> Column:
     return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(position)))
 
 
-def numeric_columns(df: DataFrame, columns: list[str]) -> set[str]:
-    """Columns with a non-blank cell whose non-blank cells are all numbers: one aggregate over df."""
-    if not columns:
-        return set()
-    probes = []
-    for i, c in enumerate(columns):
-        probes += [F.bool_or(~is_blank(c)).alias(f"f{i}"), F.bool_and(is_blank(c) | parse_number(c).isNotNull()).alias(f"n{i}")]
-    row = df.agg(*probes).first()
-    return {c for i, c in enumerate(columns) if row[f"f{i}"] and row[f"n{i}"]}
-
-
-def _summary(good: DataFrame, columns: list[str], spec: Totals, keys: list[str], names: list[str], auxiliary: dict[str, str]) -> DataFrame:
+def _summary(rows: DataFrame, columns: list[str], spec: Totals, keys: list[str], names: list[str], auxiliary: dict[str, str], alone: bool) -> DataFrame:
+    """One row per group. alone: all rows of a group pass or none, so the total and the companions come from one aggregate over
+    all rows and the groups are judged after it; else rows are the passing ones, with their total beside them."""
     rest = [c for c in columns if c not in keys and not c.startswith("_")]
-    numeric = numeric_columns(good, rest) if spec.companions == "sum" else set()
-    made = []
-    for c in rest:
+    summed = spec.companions == "sum"
+    made = [F.count(F.lit(1)).alias("group_rows")]
+    made += [_total(spec.function).alias("_total")] if alone else [F.min_by(F.col(c), F.col(spec.position)).alias(c) for c in auxiliary.values() if c != "_value"]
+    for i, c in enumerate(rest):
         if spec.companions == "distinct":
-            made.append(F.count_distinct(c).alias(c))
-        elif spec.companions == "last":
-            made.append(last_value(c, spec.position).alias(c))
-        elif c in numeric:
-            made.append(F.sum(F.coalesce(parse_amount(c), F.lit(0).cast(AMOUNT))).cast("double").alias(c))
-        else:
-            made.append(first_value(c, spec.position).alias(c))
+            made.append(F.count_distinct(c).alias(f"_first{i}"))
+            continue
+        made.append((last_value if spec.companions == "last" else first_value)(c, spec.position).alias(f"_first{i}"))
+        if summed:
+            made.append(F.sum(F.coalesce(parse_amount(c), F.lit(0).cast(AMOUNT))).cast("double").alias(f"_sum{i}"))
+            made += [F.bool_or(~is_blank(c)).alias(f"_filled{i}"), F.bool_and(is_blank(c) | parse_number(c).isNotNull()).alias(f"_number{i}")]
+    grouped = rows.groupBy(*names).agg(*made)
+    if alone:
+        judging = spec.thresholds[:1] if spec.condition == "single" else ()
+        free = spec.condition == "none" or spec.others == "pass"
+        grouped = grouped.filter(F.coalesce(judging[0].met(F.col("_total")), F.lit(False)) if judging else F.lit(free)).withColumn("_text", F.lit(judging[0].text if judging else ""))
+    # Which columns are numbers throughout decides the result's types, so it is asked now.
+    told = grouped.agg(*[f(f"_{n}{i}").alias(f"{n}{i}") for i in range(len(rest)) for f, n in ((F.bool_or, "filled"), (F.bool_and, "number"))]).first() if summed and rest else None
     taken = [*keys, *rest]
+    shown = [F.col(n).alias(k) for n, k in zip(names, keys)]
+    shown += [F.col(f"_sum{i}" if told is not None and told[f"filled{i}"] and told[f"number{i}"] else f"_first{i}").alias(c) for i, c in enumerate(rest)]
     for a, c in auxiliary.items():
         if a != VALUE and (a in spec.show or a == TOTAL):
             taken.append(free_name(spec.label(a), taken))
-            made.append(F.min_by(F.col(c), F.col(spec.position)).alias(taken[-1]))
-    made.append(F.count(F.lit(1)).alias("group_rows"))
-    grouped = good.groupBy(*names).agg(*made)
-    return grouped.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *[F.col(c) for c in grouped.columns if c not in names])
+            shown.append(F.col(c).alias(taken[-1]))
+    return grouped.select(*shown, "group_rows")
 
 
 def format_total(c: str) -> Column:

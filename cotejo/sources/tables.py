@@ -12,7 +12,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.functions.text import free_name, strip
+from cotejo.functions.text import free_name, number_of, strip
 
 #: Cells that the CSV reader takes as missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -99,9 +99,7 @@ def header_row(rows: list[list[object]], limit: int = 15) -> int:
 
 
 def _is_number(text: str) -> bool:
-    from cotejo.operators.filters import plain_number
-
-    return plain_number(text) is not None
+    return number_of(text) is not None
 
 
 def table_from_grid(spark: SparkSession, grid: list[list[object]]) -> DataFrame:
