@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.operators.filters import Filter
-from cotejo.operators.keys import overlap_frame, profile_frame, suggest_keys
+from cotejo.operators.keys import key_ranking, overlap_frame, profile_frame
 from cotejo.operators.keys import frequent_values as frequent
 from cotejo.operators.reconcile import Group, GroupFile, reconcile
 from cotejo.operators.retrieval import lexical_scores, split_documents
@@ -55,8 +55,22 @@ SELECT p.*, a.n AS n_left, b.n AS n_right FROM p JOIN s a ON a.form = p.form AND
 
 
 def key_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suggest_keys(_tables(spark, sf_dir))
-    return spark.createDataFrame([(i, k.column, k.form, float(k.strength)) for i, k in enumerate(found) if k], "table int, column string, form string, strength double")
+    return key_ranking(_tables(spark, sf_dir)).withColumn("strength", F.round("strength", 6))
+
+
+#: "key" and "ref" are the columns that sound like keys and hold no amounts; both forms are weighed.
+KEY_SUGGESTION_SQL = f"""
+WITH {_SIDES},
+u AS (SELECT "table", "column", least(1.0, count(DISTINCT value) / count(*) / 0.5) AS factor FROM c GROUP BY ALL),
+f AS (SELECT DISTINCT 'exact' AS form, "table", "column", value FROM c UNION
+      SELECT DISTINCT 'digits', "table", "column", ltrim(regexp_replace(value, '[^0-9]', '', 'g'), '0') FROM c WHERE regexp_matches(value, '[1-9]')),
+s AS (SELECT form, "table", "column", count(*) AS n FROM f GROUP BY ALL),
+p AS (SELECT x.form, count(*) AS n_both FROM f x JOIN f y ON x.form = y.form AND x.value = y.value AND x."column" = 'key' AND y."column" = 'ref' GROUP BY ALL),
+k AS (SELECT p.form, n_both / least(a.n, b.n) * least(ua.factor, ub.factor) AS strength, ua.factor FROM p JOIN s a ON a.form = p.form AND a."column" = 'key' JOIN s b ON b.form = p.form AND b."column" = 'ref'
+      JOIN u ua ON ua."column" = 'key' JOIN u ub ON ub."column" = 'ref'),
+w AS (SELECT * FROM k ORDER BY strength - CASE form WHEN 'exact' THEN 0 ELSE 0.001 END DESC LIMIT 1)
+SELECT 0 AS "table", 'key' AS "column", form, round(factor, 6) AS strength FROM w UNION ALL SELECT 1, 'ref', form, round(strength, 6) FROM w
+"""
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +205,7 @@ SELECT doc_id, round_even(score, 6) AS score FROM s WHERE score > 0
 QUERIES = {
     "q_key_profile": (key_profile, KEY_PROFILE_SQL),
     "q_key_overlap": (key_overlap, KEY_OVERLAP_SQL),
-    "q_key_suggestion": (key_suggestion, None),
+    "q_key_suggestion": (key_suggestion, KEY_SUGGESTION_SQL),
     "q_usage_sequence": (usage_sequence, USAGE_SEQUENCE_SQL),
     "q_usage_metrics": (usage_metrics, USAGE_METRICS_SQL),
     "q_usage_by_origin": (usage_by_origin, USAGE_ORIGIN_SQL),
