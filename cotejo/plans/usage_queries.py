@@ -63,13 +63,13 @@ KEY_SUGGESTION_SQL = f"""
 WITH {_SIDES},
 u AS (SELECT "table", "column", least(1.0::DOUBLE, count(DISTINCT value) / count(*) / 0.5::DOUBLE) AS factor FROM c GROUP BY ALL),
 f AS (SELECT DISTINCT 'exact' AS form, "table", "column", value FROM c UNION
-      SELECT DISTINCT 'digits', "table", "column", ltrim(regexp_replace(value, '[^0-9]', '', 'g'), '0') FROM c WHERE regexp_matches(value, '[1-9]')),
+      SELECT DISTINCT 'digits', "table", "column", CASE WHEN ltrim(regexp_replace(value, '[^0-9]', '', 'g'), '0') = '' THEN '0' ELSE ltrim(regexp_replace(value, '[^0-9]', '', 'g'), '0') END FROM c WHERE regexp_matches(value, '[0-9]')),
 s AS (SELECT form, "table", "column", count(*) AS n FROM f GROUP BY ALL),
 p AS (SELECT x.form, count(*) AS n_both FROM f x JOIN f y ON x.form = y.form AND x.value = y.value AND x."column" = 'key' AND y."column" = 'ref' GROUP BY ALL),
 k AS (SELECT p.form, n_both::DOUBLE / least(a.n, b.n) * least(ua.factor, ub.factor) AS strength, ua.factor FROM p JOIN s a ON a.form = p.form AND a."column" = 'key' JOIN s b ON b.form = p.form AND b."column" = 'ref'
       JOIN u ua ON ua."column" = 'key' JOIN u ub ON ub."column" = 'ref'),
 w AS (SELECT * FROM k ORDER BY strength - CASE form WHEN 'exact' THEN 0 ELSE 0.001 END DESC LIMIT 1)
-SELECT 0 AS "table", 'key' AS "column", form, round(factor, 6) AS strength FROM w UNION ALL SELECT 1, 'ref', form, round(strength, 6) FROM w
+SELECT 0 AS "table", 'key' AS "column", form, round(factor::DOUBLE, 6) AS strength FROM w UNION ALL SELECT 1, 'ref', form, round(strength::DOUBLE, 6) FROM w
 """
 
 
