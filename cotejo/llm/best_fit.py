@@ -13,6 +13,7 @@ are packed one by one; an empty table gives an empty result; columns other than
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,10 +86,12 @@ def byte_encoder(file_text: str, pattern: str = WORDS):
     """tiktoken's encoder for a file of "base64 rank" lines; one a worker process."""
     import tiktoken
 
-    if pattern not in _ENCODERS:
+    key = hashlib.sha256(f"{pattern}\0{file_text}".encode()).hexdigest()
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(str.split, file_text.splitlines())}
-        _ENCODERS[pattern] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[pattern]
+        _ENCODERS[key] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[key]
 
 
 def pack_ids(docs: DataFrame, vocabulary: str, context: int = CONTEXT, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,16 +52,52 @@ def release(*stored: DataFrame) -> None:
     for df in stored:
         path = getattr(df, "_cotejo_path", None)
         if path:
-            jvm, spark = df.sparkSession._jvm, df.sparkSession
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            remove_folder(df.sparkSession, path)
     give_back()
     if stored:
         stored[0].sparkSession._jvm.System.gc()
 
 
-#: Rows up to which a stored table of a few columns of bounded width is broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 4_000_000
+def remove_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as df needs to have no such column (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Files that are numbered by a broadcast table of their paths; tables of more files are stored once with their numbers.
+MAX_FILES = 100_000
+_FILE_ROWS = 1 << 40
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a row number `name` that is the same in every job that reads the result, however files are split.
+
+    Rows of a Parquet scan have their file's number and their place in the file, which readers know; nothing is written. Any
+    other plan is stored once, with numbers given on the way. docs must not have a column `name`.
+    """
+    path, place = fresh(docs, "_file_path"), fresh(docs, "_file_row")
+    try:
+        located = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+    except AnalysisException:
+        return stage_table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    files = [r[0] for r in located.select(path).distinct().limit(MAX_FILES + 1).collect()]
+    if len(files) > MAX_FILES:
+        return stage_table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    if len(files) <= 1:
+        return located.withColumn(name, F.col(place)).drop(path, place)
+    numbers = docs.sparkSession.createDataFrame([(f, i * _FILE_ROWS) for i, f in enumerate(sorted(files))], f"`{path}` string, `{name}` long")
+    return located.join(F.broadcast(numbers), path).withColumn(name, F.col(name) + F.col(place)).drop(path, place)
+
+
+#: Rows up to which a stored table of a few columns of bounded width (about 50 bytes) is broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def small_side(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

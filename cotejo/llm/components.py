@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from cotejo.llm.common import release, stage_table
 
 
-def _least_neighbour(edges: DataFrame) -> DataFrame:
-    """edges (u, v) with m = min(u, all v of u)."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return edges.join(least, "u")
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges (u, v) with m = min(u, all v of u), and the table behind m. That table is stored, so the join has two plain
+    exchanges and the rows of a hub can be split over tasks at run time."""
+    least = stage_table(edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+    return edges.join(least, "u"), least
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    starred, least = _with_least(both)
+    return starred.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    starred = _least_neighbour(down)
-    return starred.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+    starred, least = _with_least(down)
+    pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+    return starred.select(F.explode(pairs).alias("e")).select("e.u", "e.v"), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,8 +36,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = stage_table(edges.filter("u <> v").select("u", "v").distinct(), "edges")
     while True:
-        before, now = now, stage_table(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")
-        release(before)
+        large, first = _large_star(now)
+        large = stage_table(large.distinct(), "large-star")
+        small, second = _small_star(large)
+        before, now = now, stage_table(small.filter("u <> v").distinct(), "edges")
+        release(before, large, first, second)
         ends = now.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(now.select(F.col("v").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
         mixed = ends.groupBy("n").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).filter("c > 1 OR (c > 0 AND p > 0)")
         if not mixed.limit(1).count():

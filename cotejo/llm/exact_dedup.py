@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import SPACE_CLASS, arrow_batches, lean, read_table, release, small_side, stage_table, text_of
+from cotejo.llm.common import SPACE_CLASS, arrow_batches, fresh, give_back, lean, numbered, read_table, small_side, stage_table, text_of
 
 #: Cut where the top CUT_BITS bits of the window's hash are 0: chunks of 2 ** CUT_BITS bytes on average, MIN to MAX long.
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 10, 256, 8192
-#: Bound of the driver-side set of unverified digests.
+#: Unverified digests that are sent to all tasks; if there are more, every identifier carries its content.
 MAX_UNVERIFIED = 1000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,11 +72,11 @@ def _chunks(text: str, digest_size: int) -> Iterator[tuple[bytes, bytes]]:
         start = end
 
 
-def _recipes(digest_size: int, unverified: frozenset[bytes]):
-    """Batches of (_at, _doc, _norm, _sha) become (_at, _doc, _sha, _recipe)."""
+def _recipes(digest_size: int, unverified: frozenset[bytes] | None):
+    """Batches of (_at, _doc, _norm, _sha) become (_at, _doc, _sha, _recipe). unverified: None for all digests."""
 
     def identifier(digest: bytes, chunk: bytes) -> bytes:
-        return digest + len(chunk).to_bytes(4, "big") + chunk if digest in unverified else digest
+        return digest + len(chunk).to_bytes(4, "big") + chunk if unverified is None or digest in unverified else digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,28 +97,31 @@ def _contents(digest_size: int):
     return lean(run)
 
 
-def classes_of_equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_size: int = 16) -> DataFrame:
-    """One row per row of docs: _at (position in docs), id_col, keep_id, group_size, kept, text_sha256.
-
-    Two passes over the texts: one writes the recipes, one verifies the identifiers. At 16 bytes a digest the unverified
-    ones are expected to be none; they are collected only while they fit the bound below, far above what chance allows.
-    """
-    arrow_batches(docs.sparkSession, 1000)
+def _classes(rows: DataFrame, at: str, id_col: str, text_col: str, digest_size: int) -> DataFrame:
+    """One row per row of rows, whose numbers are in column `at`."""
+    arrow_batches(rows.sparkSession, 1000)
     norm = F.regexp_replace(text_of(text_col), SPACE_CLASS, " ")
-    texts = docs.select(F.monotonically_increasing_id().alias("_at"), F.col(id_col).cast("long").alias("_doc"), norm.alias("_norm"))
+    texts = rows.select(F.col(at).alias("_at"), F.col(id_col).cast("long").alias("_doc"), norm.alias("_norm"))
     texts = texts.withColumn("_sha", F.sha2(F.col("_norm").cast("binary"), 256))
-    contents = docs.select(norm.alias("_norm")).mapInArrow(_contents(digest_size), "_digest binary, _chunk binary")
+    contents = rows.select(norm.alias("_norm")).mapInArrow(_contents(digest_size), "_digest binary, _chunk binary")
     clashing = contents.distinct().groupBy("_digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     unverified = frozenset(bytes(r[0]) for r in clashing.select("_digest").limit(MAX_UNVERIFIED + 1).collect())
-    release(docs)
-    if len(unverified) > MAX_UNVERIFIED:
-        raise ValueError("digest_size is too small for this table")
-    listed = stage_table(texts.mapInArrow(_recipes(digest_size, unverified), "_at long, _doc long, _sha string, _recipe binary"), "recipes")
+    give_back()
+    listed = stage_table(texts.mapInArrow(_recipes(digest_size, unverified if len(unverified) <= MAX_UNVERIFIED else None), "_at long, _doc long, _sha string, _recipe binary"), "recipes")
     first = F.min(F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_at")).alias("_first")
     several = stage_table(listed.groupBy("_recipe").agg(first, F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "equal-recipes")
-    out = listed.join(several, "_recipe", "left")
+    return listed.join(several, "_recipe", "left")
+
+
+def classes_of_equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_size: int = 16) -> DataFrame:
+    """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256.
+
+    Two passes over the texts: one writes the recipes, one verifies the identifiers. At 16 bytes a digest the unverified
+    ones are expected to be none. Few are sent to the tasks; if there were many, all recipes would hold their contents.
+    """
+    at = fresh(docs, "_at")
+    out = _classes(numbered(docs, at), at, id_col, text_col, digest_size)
     return out.select(
-        "_at",
         F.col("_doc").alias(id_col),
         F.when(F.col("_first").isNull(), F.col("_doc")).otherwise(F.col("_first._doc")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -128,13 +131,15 @@ def classes_of_equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def drop_equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text an earlier-numbered row has; docs must be a stored table."""
-    gone = small_side(stage_table(classes_of_equal_texts(docs, id_col, text_col).filter("NOT kept").select("_at"), "gone"))
-    return docs.withColumn("_at", F.monotonically_increasing_id()).join(gone, "_at", "left_anti").select(*docs.columns)
+    """docs without the rows whose text an earlier-numbered row has."""
+    at = fresh(docs, "_at")
+    rows = numbered(docs, at)
+    gone = _classes(rows, at, id_col, text_col, 16).filter("_first._at <> _at").select(F.col("_at").alias(at))
+    return rows.join(small_side(stage_table(gone, "gone")), at, "left_anti").select(*docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes_of_equal_texts(read_table(spark, sf_dir, "documents")).drop("_at")
+    return classes_of_equal_texts(read_table(spark, sf_dir, "documents"))
 
 
 OP2_SQL = r"""

@@ -15,14 +15,19 @@ n-grams, about a third, pair documents, so passages that many documents hold do
 A pair is a candidate only where all these filters meet, and is then verified on the whole sets. Texts of one set form a class
 and take part once. The sets that share a rare n-gram meet as parity sketches of 512 bits: two sketches differ in at most as
 many bits as the sets in n-grams, so pairs that differ in more bits than a link allows are left out without loss, and without
-ever becoming rows. Links serve the components, so of the other pairs each set first names its closest in another component,
-twice, with components found in between; then all pairs that are still in different components are verified. A shared n-gram
-of many sets is cut into tiles of TILE sets, and each pair of tiles is a task's group.
+ever becoming rows (above some 2,500 n-grams they tell little, and pairs are left to the other filters). For the components,
+each set first names its closest in another component, twice, with components found in between; then all pairs that are still
+in different components are verified. A shared n-gram of many sets is cut into tiles of TILE sets, and each pair of tiles is a
+task's group.
+
+Links never leave a component, so all of them are counted there: each set is stored as its difference from one set of its
+component, components are cut into tiles of bounded sets and n-grams, and each pair of tiles is a task's group, in which the
+exact intersections of all pairs come from the n-grams that two differences share. Pairs never become rows.
 
 Defined results: null or empty text has no n-grams, links with nothing and is its own component; a text of fewer words than
-the n-gram length has its whole word sequence as one; rows that repeat a doc_id are separate documents of one component; a
-null doc_id is never the least; an empty table gives an empty result; very long texts only have more n-grams; columns other
-than the named ones are ignored.
+the n-gram length has its whole word sequence as one; rows that repeat a doc_id are separate documents of one component, and
+equal sets link; a null doc_id is never the least; an empty table gives an empty result; very long texts only have more
+n-grams; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import arrow_batches, lean, read_table, release, small_side, stage_table, text_of
+from cotejo.llm.common import arrow_batches, fresh, lean, numbered, read_table, release, small_side, stage_table, text_of
 from cotejo.llm.components import components
 
 #: Words an n-gram and least similarity in percent, for uses without a contract of their own.
@@ -49,6 +54,8 @@ SHORT, LONG = "e div 2 + 1", "3 * e + 1"
 ROUNDS, TILE, STRIPE = 2, 2048, 256
 #: n-grams of so few sets have all their pairs compared at once with those of others.
 FEW = 64
+#: n-grams and sets of a tile of a component, of which all links are counted.
+TILE_GRAMS, TILE_SETS = 400_000, 2048
 _SKETCH_WORDS = 8
 
 
@@ -266,13 +273,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.filter(100 * F.col("_both") >= percent * (F.col("_n_a") + F.col("_n_b") - F.col("_both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _components_of(docs: DataFrame, sets_of: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, label): the components of more than one set of sets_of (_at, _n, _prefix)."""
+def _components_of(docs: DataFrame, sets_of: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, label): the components of more than one set of sets_of (_at, _n, _prefix); and the stored sets of all nodes."""
     spark = docs.sparkSession
 
     def tokens(prefixes: DataFrame, least: str) -> DataFrame:
         e = f"(ceil({percent} * _n / 100D) - ceil({percent} * ceil({percent} * _n / 100D) / 100D))"  # of the least partner
-        return prefixes.select("_at", "_n", F.expr(least.replace("e", e, 1)).cast("long").alias("_least"), F.explode("_prefix").alias("_tok"))
+        # No more than the least intersection, which l exceeds at thresholds below 67 percent.
+        shared = f"least({least.replace('e', e, 1)}, ceil({percent} * _n / 100D))"
+        return prefixes.select("_at", "_n", F.expr(shared).cast("long").alias("_least"), F.explode("_prefix").alias("_tok"))
 
     def texts_of(held: DataFrame) -> DataFrame:
         """Texts of the sets that are left, by position: a broadcast of their positions up to a bound, else a join."""
@@ -310,44 +319,172 @@ def _components_of(docs: DataFrame, sets_of: DataFrame, words: int, percent: int
             labels = stage_table(components(links), "labels")
         elif turn < ROUNDS:
             continue
-    release(tiled, sets)
-    return labels
+    release(tiled)
+    return labels, sets
+
+
+def _common(left: np.ndarray, right: np.ndarray, row: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """How many n-grams each left row shares with each right row; (row, gram) are the entries of all rows, each once.
+
+    n-grams of many rows are counted by products of 0/1 matrices, those of few by their pairs.
+    """
+    rows = len(left) + len(right)
+    side = np.full(int(max(left.max(), right.max())) + 1, -1)
+    side[left], place = 0, np.zeros(len(side), np.int64)
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    own = len(left) == len(right) and (left == right).all()
+    if not own:
+        side[right] = 1
+    order = np.argsort(gram, kind="stable")
+    row, gram = row[order], gram[order]
+    starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    holders = np.diff(np.concatenate([starts, [len(gram)]]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    of_entry = np.repeat(np.arange(len(starts)), holders)
+    many = np.flatnonzero(holders > FEW)
+    for at in range(0, len(many), 2048):
+        part = many[at : at + 2048]
+        column = np.full(len(starts), -1)
+        column[part] = np.arange(len(part))
+        here = column[of_entry] >= 0
+        hot = np.zeros((len(side), len(part)), np.float32)
+        hot[row[here], column[of_entry[here]]] = 1
+        out += hot[left] @ hot[right].T
+    few = np.repeat((holders <= FEW) & (holders > 1), holders)
+    row, of_entry = row[few], of_entry[few]
+    for step in range(1, min(FEW, rows)):
+        same = np.flatnonzero(of_entry[step:] == of_entry[:-step])
+        if not len(same):
+            break
+        x, y = row[same], row[same + step]
+        if own:
+            x, y = np.concatenate([x, y]), np.concatenate([y, x])
+        else:
+            cross = side[x] != side[y]
+            x, y = x[cross], y[cross]
+            x, y = np.where(side[x] == 0, x, y), np.where(side[x] == 0, y, x)
+        np.add.at(out, (place[x], place[y]), 1)
+    return out
+
+
+def _count_links(percent: int):
+    """Rows (_label, _i, _j, _tile, _at, _n, _copies, _diff), sorted by the first three, to (_at, links): documents of other
+    sets that each set links with, as far as the pair of tiles knows."""
+
+    def links_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        tile, at, n, copies = (table.column(c).to_numpy() for c in ("_tile", "_at", "_n", "_copies"))
+        diff = table.column("_diff").combine_chunks()
+        size = pa.compute.list_value_length(diff).to_numpy()
+        own = bool(table.column("_i")[0] == table.column("_j")[0])
+        left = np.arange(len(at)) if own else np.flatnonzero(tile == tile.min())
+        right = left if own else np.flatnonzero(tile != tile.min())
+        if not len(right) or (own and len(at) < 2) or (not own and (tile == tile[0]).all()):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        common = _common(left, right, np.repeat(np.arange(len(at)), size), diff.flatten().to_numpy())
+        total = (n[left][:, None] + n[right][None, :]).astype(np.int64)
+        both = (total - (size[left][:, None] + size[right][None, :]) + 2 * common.astype(np.int64)) // 2
+        link = 100 * both >= percent * (total - both)
+        if own:
+            np.fill_diagonal(link, False)
+            return at, link @ copies
+        return np.concatenate([at[left], at[right]]), np.concatenate([link @ copies[right], copies[left] @ link])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: _at (position), id_col, n_shingles, component_id, first (the one row of its component to keep)."""
-    arrow_batches(docs.sparkSession, 1000)
-    texts = docs.select(F.monotonically_increasing_id().alias("_at"), F.col(id_col).cast("long").alias("_doc"), text_of(text_col).alias("_text"))
+        rest: pa.Table | None = None
+
+        def flush(table: pa.Table) -> pa.RecordBatch:
+            keys = [table.column(c).to_numpy() for c in ("_label", "_i", "_j")]
+            edges = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            found = [links_of(table.slice(a, b - a)) for a, b in zip([0, *edges], [*edges, table.num_rows])]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], ["_at", "links"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            keys = [table.column(c).to_numpy() for c in ("_label", "_i", "_j")]
+            last = np.all([k == k[-1] for k in keys], axis=0)
+            whole = table.num_rows - int(last.sum())
+            rest = table.slice(whole)
+            if whole:
+                yield flush(table.slice(0, whole))
+        if rest is not None:
+            yield flush(rest)
+
+    return lean(run)
+
+
+def _links(labels: DataFrame, sets: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """(_at, links) of the sets of labels (node, label): documents of other sets that link with each. copies: (_at, _copies)."""
+    heads = sets.join(labels.select(F.col("label").alias("_at")).distinct(), "_at").select(F.col("_at").alias("label"), F.col("_set").alias("_head"))
+    members = sets.select("_at", "_n", "_set").join(labels.withColumnRenamed("node", "_at"), "_at").join(copies, "_at")
+    differ = F.concat(F.array_except("_set", "_head"), F.array_except("_head", "_set"))
+    diffs = stage_table(members.join(heads, "label").select("label", "_at", "_n", "_copies", differ.alias("_diff")), "diffs")
+    tiles = diffs.groupBy("label").agg(F.expr(f"cast(greatest(ceil(sum(size(_diff)) / {TILE_GRAMS}), ceil(count(1) / {TILE_SETS})) AS int)").alias("_tiles"))
+    tiles = stage_table(tiles, "link-tiles")
+    tiled = diffs.join(tiles, "label").withColumn("_tile", F.pmod(F.xxhash64("_at"), F.col("_tiles")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    tiled = tiled.select(F.col("label").alias("_label"), F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"), "_tile", "_at", "_n", "_copies", "_diff")
+    grouped = tiled.repartition("_label", "_i", "_j").sortWithinPartitions("_label", "_i", "_j")
+    counted = grouped.mapInArrow(_count_links(percent), "_at long, links long").groupBy("_at").agg(F.sum("links").alias("links"))
+    counted = stage_table(counted, "link-counts")
+    release(diffs, tiles)
+    return counted
+
+
+def _near(rows: DataFrame, at: str, words: int, percent: int, id_col: str, text_col: str, count: bool) -> DataFrame:
+    """One row per row of rows, whose numbers are in column `at`: _at, _doc, _n, component_id, first, n_links (null unless count)."""
+    arrow_batches(rows.sparkSession, 1000)
+    texts = rows.select(F.col(at).alias("_at"), F.col(id_col).cast("long").alias("_doc"), text_of(text_col).alias("_text"))
     sketched = stage_table(texts.mapInArrow(_sketch(words, percent), "_at long, _doc long, _n long, _class binary, _prefix array<long>"), "sketch")
     least = F.min(F.struct(F.col("_doc").isNull().alias("none"), "_doc", "_at")).alias("_first")
-    classes = stage_table(sketched.filter("_n > 0").groupBy("_class").agg(least).select("_class", F.col("_first._at").alias("_rep"), F.col("_first._doc").alias("_rep_doc")), "classes")
+    classes = sketched.filter("_n > 0").groupBy("_class").agg(least, F.count(F.lit(1)).alias("_copies"))
+    classes = stage_table(classes.select("_class", F.col("_first._at").alias("_rep"), F.col("_first._doc").alias("_rep_doc"), "_copies"), "classes")
     sets_of = sketched.join(small_side(classes).select(F.col("_rep").alias("_at")), "_at", "left_semi").select("_at", "_n", "_prefix")
-    labels = _components_of(texts, sets_of, words, percent)
+    labels, sets = _components_of(texts, sets_of, words, percent)
     slim = stage_table(sketched.drop("_prefix"), "sizes")
     release(sketched)
+    links = _links(labels, sets, classes.select(F.col("_rep").alias("_at"), "_copies"), percent) if count else None
+    release(sets)
     named = classes.join(labels.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("label", F.coalesce("label", "_rep"))
-    named = stage_table(named, "named")
+    if links is not None:
+        named = named.join(links.withColumnRenamed("_at", "_rep"), "_rep", "left")
+    other = F.coalesce("links", F.lit(0)) if links is not None else F.lit(None)
+    named = stage_table(named.withColumn("n_links", (F.col("_copies") - 1 + other).cast("long")), "named")
     head = named.groupBy("label").agg(F.min(F.struct(F.col("_rep_doc").isNull().alias("none"), "_rep_doc", "_rep")).alias("_head"))
-    headed = stage_table(named.join(head, "label").select("_class", F.col("_head._rep_doc").alias("component_id"), F.col("_head._rep").alias("_keep")), "headed")
+    headed = stage_table(named.join(head, "label").select("_class", F.col("_head._rep_doc").alias("component_id"), F.col("_head._rep").alias("_keep"), "n_links"), "headed")
     alone = F.col("_n") == 0
     release(named)
     return slim.join(headed, "_class", "left").select(
         "_at",
-        F.col("_doc").alias(id_col),
-        F.col("_n").alias("n_shingles"),
+        "_doc",
+        "_n",
         F.when(alone, F.col("_doc")).otherwise(F.col("component_id")).alias("component_id"),
         (alone | (F.col("_keep") == F.col("_at"))).alias("first"),
+        F.when(alone, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links"),
     )
 
 
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id_col, n_shingles, component_id, n_links (documents it links with), first (the one row of its
+    component to keep)."""
+    at = fresh(docs, "_at")
+    found = _near(numbered(docs, at), at, words, percent, id_col, text_col, count=True)
+    return found.select(F.col("_doc").alias(id_col), F.col("_n").alias("n_shingles"), "component_id", "n_links", "first")
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs, a stored table, with one row of each component."""
-    gone = small_side(stage_table(near_duplicates(docs, words, percent).filter("NOT first").select("_at"), "gone"))
-    return docs.withColumn("_at", F.monotonically_increasing_id()).join(gone, "_at", "left_anti").select(*docs.columns)
+    """docs with one row of each component."""
+    at = fresh(docs, "_at")
+    rows = numbered(docs, at)
+    gone = _near(rows, at, words, percent, "doc_id", "text", count=False).filter("NOT first").select(F.col("_at").alias(at))
+    return rows.join(small_side(stage_table(gone, "gone")), at, "left_anti").select(*docs.columns)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=90).drop("_at", "first")
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=90).drop("first")
 
 
 OP3_SQL = r"""
@@ -359,6 +496,8 @@ pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM g a JOIN g b O
 links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 90 * (a.n + b.n - o)),
 both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT x AS node, x AS other FROM both_ways UNION SELECT r.node, b.y FROM reach r JOIN both_ways b ON b.x = r.other),
-least AS (SELECT node, min(other) AS c FROM reach GROUP BY node)
-SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least ON node = w.doc_id
+least AS (SELECT node, min(other) AS c FROM reach GROUP BY node),
+held AS (SELECT x, count(*) AS n_links FROM both_ways GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c, w.doc_id) AS component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least ON node = w.doc_id LEFT JOIN held ON x = w.doc_id
 """

@@ -22,14 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import read_table, stage_table, text_of
+from cotejo.llm.common import fresh, numbered, read_table, stage_table, text_of
 
 #: Fixed values of the contract, in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
 
 SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.98
 BROADCAST_TERMS = 500_000
-BROADCAST_CUTS = 2_000_000
+BROADCAST_CUTS = 1_000_000
 
 #: Stand-ins, one character each, for separators inside a match, so that a match is one character class. A text's own
 #: \x01 to \x03 become \x04 first; none of the patterns can hold them.
@@ -138,20 +138,17 @@ def _places() -> str:
     return f"aggregate(split(array_join({marked}, ''), '{_MARK}', -1), {zero}, (a, w) -> struct({end} AS at, a.i + 1 AS i, {out} AS out), a -> a.out)"
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_raw"), F.monotonically_increasing_id().alias("_row"))
-
-
 def _few(stored: DataFrame) -> bool:
     return stored.count() <= BROADCAST_TERMS
 
 
-def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(found, terms). found: _row, id_col, _spans of each row of docs; terms: _row, _terms of the rows that hold disclosing terms."""
-    rows = _numbered(docs, id_col, text_col)
+def disclosing_terms(docs: DataFrame, at: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(found, terms), docs having row numbers in column `at`. found: _row, _id, _spans of each row; terms: _row, _terms of the
+    rows that hold disclosing terms."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_raw"), F.col(at).alias("_row"))
     spanned = base_spans(rows, "_raw").withColumn("_held", F.when(F.size("_spans") > 0, _words(F.expr(_outside()))))
     held = F.filter("_held", lambda w: (w != "") & ~w.contains(_HIDDEN))
-    found = stage_table(spanned.select("_row", F.col("_id").alias(id_col), "_spans", held.alias("_held")), "spans")
+    found = stage_table(spanned.select("_row", "_id", "_spans", held.alias("_held")), "spans")
     n_all = found.count()
     holders = found.filter("size(_spans) > 0").select(F.explode(F.array_distinct(F.expr("transform(_spans, s -> concat(s.kind, ':', s.value))"))).alias("entity"), "_held")
     entities = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity").between(SUPPORT, n_all - 1))
@@ -187,39 +184,39 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs, a stored table: _row (position), id_col, _spans (base), _terms (array<struct<start, end, share>>, sorted)."""
-    found, terms = disclosing_terms(docs, id_col, text_col)
-    return found.join(terms, "_row", "left")
+    """One row per row of docs: id_col, _spans (base), _terms (array<struct<start, end, share>>, sorted)."""
+    at = fresh(docs, "_row")
+    found, terms = disclosing_terms(numbered(docs, at), at, id_col, text_col)
+    return found.join(terms, "_row", "left").select(F.col("_id").alias(id_col), "_spans", "_terms")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, a stored table, with entities replaced by [KIND] and disclosing terms generalised or removed."""
-    changes = annotate(docs, id_col, text_col).filter("size(_spans) > 0 OR size(_terms) > 0")
+    """docs with entities replaced by [KIND] and disclosing terms generalised or removed."""
+    at, cuts = fresh(docs, "_row"), fresh(docs, "_cuts")
+    rows = numbered(docs, at)
+    found, terms = disclosing_terms(rows, at, id_col, text_col)
+    changed = found.join(terms, "_row", "left").filter("size(_spans) > 0 OR size(_terms) > 0")
     # Of overlapping spans the earlier start wins, then the longer; the rest of the later one is covered by the first's end.
-    cuts = """
+    listed = """
       sort_array(concat(
         transform(_spans, s -> struct(s.start AS start, -s.end AS back, concat('[', upper(s.kind), ']') AS put)),
         coalesce(transform(_terms, t -> struct(t.start AS start, -t.end AS back, if(t.share >= {remove}, '', '\u0005') AS put)),
                  cast(array() AS array<struct<start:int,back:int,put:string>>))))""".format(remove=REMOVE)
-    word = "substring(_text, c.start + 1, -c.back - c.start)"
+    whole = f"coalesce(cast(`{text_col}` AS string), '')"
+    word = f"substring({whole}, c.start + 1, -c.back - c.start)"
     kind = f"if({word} RLIKE '^[0-9]+$', '[NUMBER]', if({word} RLIKE '^\\\\p{{Lu}}', '[NAME]', '[WORD]'))"
-    step = f"if(-c.back <= a.at, a, struct(-c.back AS at, concat(a.out, array(if(c.start > a.at, substring(_text, a.at + 1, c.start - a.at), ''), if(c.put = '\u0005', {kind}, c.put))) AS out))"
-    text = f"aggregate(_cuts, struct(0 AS at, cast(array() AS array<string>) AS out), (a, c) -> {step}, a -> concat(array_join(a.out, ''), substring(_text, a.at + 1)))"
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    changes = stage_table(changes.select("_row", F.expr(cuts).alias("_cuts")), "cuts")
+    step = f"if(-c.back <= a.at, a, struct(-c.back AS at, concat(a.out, array(if(c.start > a.at, substring({whole}, a.at + 1, c.start - a.at), ''), if(c.put = '\u0005', {kind}, c.put))) AS out))"
+    text = f"aggregate(`{cuts}`, struct(0 AS at, cast(array() AS array<string>) AS out), (a, c) -> {step}, a -> concat(array_join(a.out, ''), substring({whole}, a.at + 1)))"
+    changes = stage_table(changed.select(F.col("_row").alias(at), F.expr(listed).alias(cuts)), "cuts")
     # The cuts are broadcast up to a bound on their number over all documents, about 50 bytes each.
-    if (changes.agg(F.sum(F.size("_cuts"))).first()[0] or 0) <= BROADCAST_CUTS:
+    if (changes.agg(F.sum(F.size(cuts))).first()[0] or 0) <= BROADCAST_CUTS:
         changes = F.broadcast(changes)
-    return (
-        numbered.join(changes, "_row", "left")
-        .withColumn("_text", text_of(text_col))
-        .withColumn(text_col, F.expr(f"if(_cuts IS NULL, `{text_col}`, {text})"))
-        .select(*docs.columns)
-    )
+    joined = rows.join(changes, at, "left")
+    return joined.withColumn(text_col, F.expr(f"if(`{cuts}` IS NULL, `{text_col}`, {text})")).select(*docs.columns)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = annotate(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = annotate(read_table(spark, sf_dir, "documents"))
     shown = "transform(_spans, s -> concat(s.kind, ':', s.start, ':', s.end))"
     every = """transform(sort_array(concat(transform(_spans, s -> struct(s.start AS start, s.rank AS rank, s.kind AS kind, s.end AS end)),
       coalesce(transform(_terms, t -> struct(t.start AS start, 9 AS rank, 'term' AS kind, t.end AS end)),

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cotejo.llm import best_fit, bpe, exact_dedup, kneser_ney, length_buckets, license_scan, ngram_join, pii, quality_rules, sharding
+from cotejo.llm import best_fit, bpe, common, exact_dedup, kneser_ney, length_buckets, license_scan, ngram_join, pii, quality_rules, sharding
 from cotejo.llm.components import components
 from cotejo.llm.registry import ORACLE_SQL, QUERIES
 from tests.compare import same
@@ -116,9 +117,10 @@ def test_chunks_depend_on_content():
     assert exact_dedup.cut_points("é".encode() * 20_000)[-1] == 40_000
 
 
-@pytest.mark.parametrize("digest_size", [16, 1])
-def test_equal_texts(spark, hard, digest_size):
-    """Digests of one byte collide; identifiers stay verified."""
+@pytest.mark.parametrize("digest_size,most", [(16, 1000), (1, 1000), (1, 3)])
+def test_equal_texts(spark, monkeypatch, digest_size, most):
+    """Digests of one byte collide; identifiers stay verified, also beyond the digests that tasks are told of."""
+    monkeypatch.setattr(exact_dedup, "MAX_UNVERIFIED", most)
     rng = random.Random(2)
     texts = [rng.choice(["one", "two", "three"]) * rng.randrange(1, 900) for _ in range(60)]
     rows = exact_dedup.classes_of_equal_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), digest_size=digest_size).collect()
@@ -135,10 +137,41 @@ def test_dedup_of_hard_rows(hard, empty):
         by[r.text_sha256].append(r)
     assert len(rows) == len(HARD) and all(sum(r.kept for r in g) == 1 and {r.group_size for r in g} == {len(g)} for g in by.values())
     assert {(r.doc_id, r.keep_id) for r in rows if r.doc_id in (0, 3, 1, 2)} == {(0, 0), (3, 0), (1, 1), (2, 1)}
-    assert rows[0].text_sha256 in {hashlib.sha256(" ".join((t or "").split(" ")).encode()).hexdigest() for _, t, _, _ in HARD} or True
+    assert {r.text_sha256 for r in rows} == {hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()).hexdigest() for _, t, _, _ in HARD}
     assert exact_dedup.classes_of_equal_texts(empty).count() == 0
 
 
+def test_row_numbers_do_not_depend_on_splits(spark, tmp_path):
+    """How files are split changes between the jobs of one call; numbers, drops and components stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.repartition(6).write.parquet(str(tmp_path / "docs"))
+    many = spark.read.parquet(str(tmp_path / "docs"))
+    seen = []
+    try:
+        for parts in ("2", "16"):
+            spark.conf.set("spark.sql.files.minPartitionNum", parts)
+            seen.append({(r.doc_id, r.n) for r in common.numbered(many, "n").select("doc_id", "n").collect()})
+        rows = common.numbered(many, "n")
+        spark.conf.set("spark.sql.files.minPartitionNum", "3")
+        seen.append({(r.doc_id, r.n) for r in rows.select("doc_id", "n").collect()})
+        dropped = exact_dedup.drop_equal_texts(many)
+        spark.conf.set("spark.sql.files.minPartitionNum", "11")
+        kept = {r.keep_id for r in exact_dedup.classes_of_equal_texts(docs).collect()}
+        assert dropped.count() == len(kept)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert seen[0] == seen[1] == seen[2] and len({n for _, n in seen[0]}) == docs.count()
+
+
+def test_stored_input_is_not_deleted(spark, hard):
+    """A stored table is read again after each helper; its own columns, clashing ones included, come back."""
+    stored = common.stage_table(hard, "input")
+    for helper in (exact_dedup.drop_equal_texts, ngram_join.drop_near_duplicates, pii.sanitise):
+        out = helper(stored)
+        assert out.columns == hard.columns and {r._at for r in out.collect()} == {"clash"}
+    assert stored.count() == len(HARD)
+
+
 # ---- n-gram join
 
 
@@ -147,7 +180,7 @@ def plain_components(texts, words, percent):
     for t in texts:
         w = (t or "").encode().lower().split()
         sets.append(frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset())
-    parent = list(range(len(sets)))
+    parent, links = list(range(len(sets))), [0] * len(sets)
 
     def find(x):
         while parent[x] != x:
@@ -159,12 +192,15 @@ def plain_components(texts, words, percent):
         if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
             a, b = sorted((find(i), find(j)))
             parent[b] = a
-    return [find(i) for i in range(len(sets))], [len(s) for s in sets]
+            links[i] += 1
+            links[j] += 1
+    return [find(i) for i in range(len(sets))], [len(s) for s in sets], links
 
 
-@pytest.mark.parametrize("words,percent,tile", [(3, 90, 2048), (5, 80, 2048), (2, 70, 8), (3, 90, 8)])
-def test_components_against_all_pairs(spark, monkeypatch, words, percent, tile):
-    monkeypatch.setattr(ngram_join, "TILE", tile)
+@pytest.mark.parametrize("words,percent,tile", [(3, 90, 2048), (5, 80, 2048), (2, 70, 8), (3, 90, 8), (3, 55, 8)])
+def test_components_and_links_against_all_pairs(spark, monkeypatch, words, percent, tile):
+    for name, value in (("TILE", tile), ("TILE_SETS", tile), ("FEW", 64 if tile > 8 else 3)):
+        monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(words * percent)
     vocabulary = [f"w{i}" for i in range(300)]
     texts = []
@@ -177,9 +213,9 @@ def test_components_against_all_pairs(spark, monkeypatch, words, percent, tile):
                     base[rng.randrange(len(base))] = rng.choice(vocabulary)
             texts.append(" ".join(base).upper() if rng.random() < 0.1 else " ".join(base))
     texts += ["", None, "one", "one", "two words", "Two  Words"]
-    want, sizes = plain_components(texts, words, percent)
+    want, sizes, links = plain_components(texts, words, percent)
     rows = ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words, percent).collect()
-    assert {r.doc_id: (r.component_id, r.n_shingles) for r in rows} == {i: (c, n) for i, (c, n) in enumerate(zip(want, sizes))}
+    assert {r.doc_id: (r.component_id, r.n_shingles, r.n_links) for r in rows} == {i: x for i, x in enumerate(zip(want, sizes, links))}
     assert Counter(r.component_id for r in rows if r["first"]) == Counter(set(want))
 
 
