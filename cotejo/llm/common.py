@@ -83,12 +83,14 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     other plan is stored once, with numbers given on the way. docs must not have a column `name`.
     """
     path, place = fresh(docs, "_file_path"), fresh(docs, "_file_row")
-    try:
-        located = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
-    except AnalysisException:
-        return stage_table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
-    files = [r[0] for r in located.select(path).distinct().limit(MAX_FILES + 1).collect()]
-    if len(files) > MAX_FILES:
+    located = files = None
+    if "_metadata#" in docs._jdf.queryExecution().analyzed().metadataOutput().toString():
+        try:
+            located = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+            files = [r[0] for r in located.select(path).distinct().limit(MAX_FILES + 1).collect()]
+        except AnalysisException:  # files of a kind whose readers give no places
+            pass
+    if files is None or len(files) > MAX_FILES:
         return stage_table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
     if len(files) <= 1:
         return located.withColumn(name, F.col(place)).drop(path, place)

@@ -1,14 +1,17 @@
 """License scan by diagonal voting, DataFrame operations only.
 
 Every word k-gram of every text is joined to the places where licence templates hold it. A hit votes for the diagonal
-(place in the text - place in the template). Votes are counted by (document, template, diagonal), partly before the shuffle,
-so a document's misses collapse into one row. Neighbouring diagonals, apart by inserted or dropped words, are merged, and a
-merged span counts where it covers enough of its template; a phrase counts only where each of its k-grams has voted on one
-diagonal, which is a consecutive occurrence.
-
-Defined results: null or empty text has no words and no labels; ties between templates are all reported, in sorted order;
-repeated rows are scanned one by one; very long texts have more k-grams and nothing else; an empty table gives an empty
-result; columns other than the named ones are ignored.
+(place in the text - place in the template). Votes are gathered by (document, template, diagonal), partly before the shuffle,
+so a document's misses collapse into one row. Diagonals of one template that lie at most MERGE_GAP apart in all, as inserted or
+dropped words make them, are merged into a band; so a band's words stand within the template's length plus MERGE_GAP. A band
+counts by the distinct template places that voted, however often they did. Its span is then verified: the words of the text
+are cut out and the template's k-grams counted among theirs; the share found is the span's cover. A phrase is the special case
+of one diagonal on which every k-gram votes, which is a consecutive occurrence.
+
+Defined results: null or empty text has no words and no labels; ties between templates are all reported, in sorted order; of
+overlapping bands of a template the one of greatest cover, then of least diagonal, is its span; repeated rows are scanned one
+by one; very long texts have more k-grams and nothing else; an empty table gives an empty result; columns other than the named
+ones are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import lower_ascii, read_table, stage_table, text_of
+from cotejo.llm.common import fresh, lower_ascii, numbered, read_table, small_side, stage_table, text_of
 
 GRAM = 3
 #: Words apart that two diagonals of one licence text may lie, and the percentage of its k-grams that must have voted.
@@ -32,7 +35,7 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: Openings of common licence texts.
+#: Openings of common licence texts, and texts or notices as a whole.
 TEXTS = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit-text"),
     ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache-2-text"),
@@ -42,6 +45,43 @@ TEXTS = (
     ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc-text"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-text"),
     ("all rights reserved no part of this publication may be reproduced", "all-rights-reserved"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
+        "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all "
+        "copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the "
+        "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages "
+        "or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "mit-whole",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+        "permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever "
+        "resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or "
+        "performance of this software",
+        "isc-whole",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source "
+        "code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright "
+        "notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by "
+        "the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness "
+        "for a particular purpose are disclaimed",
+        "bsd-2-whole",
+    ),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of "
+        "any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "apache-2-notice",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a "
+        "particular purpose see the gnu general public license for more details",
+        "gpl-notice",
+    ),
 )
 
 #: Fixed value of the contract: what is not part of a word.
@@ -76,62 +116,80 @@ def _template_places(spark: SparkSession, known: list[Template]) -> DataFrame:
     return at.withColumn("_gram", _gram_hash([F.col(f"_g{i}") for i in range(GRAM)]))
 
 
-def diagonal_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list[Template] | None = None) -> DataFrame:
-    """(_row, id_col, n_words, template, diagonal, votes, first, last): one row for each diagonal that got a vote, and one
-    with null template for each row of docs."""
-    known = templates() if known is None else known
-    grams = ", ".join(f"_words[i + {j}]" for j in range(GRAM))
-    # The k-gram at -1 is nobody's: it keeps documents without any other.
+def _words(text_col: str) -> Column:
+    return F.array_remove(F.split(lower_ascii(text_of(text_col)), NOT_WORD), "")
+
+
+def diagonal_votes(rows: DataFrame, at: str, id_col: str, text_col: str, known: list[Template]) -> DataFrame:
+    """(_row, _id, n_words, template, diagonal, places, first), rows having numbers in column `at`: one row for each diagonal that got
+    votes, with the template places that voted, and one with null template for each row."""
+    grams = ", ".join(f"w[i + {j}]" for j in range(GRAM))
+    # The words are bound to w, or the optimizer would split the text anew for each word. The k-gram at -1 is nobody's: it
+    # keeps documents without any other.
+    rolled = f"concat(array(struct(-1 AS p, 0L AS h)), if(size(w) >= {GRAM}, transform(sequence(0, size(w) - {GRAM}), i -> struct(i AS p, xxhash64({grams}) AS h)), array()))"
     rolled = (
-        docs.select(
-            F.col(id_col).alias("_id"),
-            F.monotonically_increasing_id().alias("_row"),
-            F.array_remove(F.split(lower_ascii(text_of(text_col)), NOT_WORD), "").alias("_words"),
-        )
-        .withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("_at", F.expr(f"concat(array(struct(-1 AS p, 0L AS h)), if(n_words >= {GRAM}, transform(sequence(0, n_words - {GRAM}), i -> struct(int(i) AS p, xxhash64({grams}) AS h)), array()))"))
-        .select("_id", "_row", "n_words", F.explode("_at").alias("_one"))
-        .select("_id", "_row", "n_words", F.col("_one.p").alias("_place"), F.col("_one.h").alias("_gram"))
+        rows.select(F.col(at).alias("_row"), F.col(id_col).alias("_id"), _words(text_col).alias("_words"))
+        .select("_row", "_id", F.expr(f"inline(transform(array(_words), w -> struct(cast(size(w) AS bigint) AS n_words, {rolled} AS _at)))"))
+        .select("_row", "_id", "n_words", F.inline("_at").alias("_place", "_gram"))
     )
-    places = _template_places(docs.sparkSession, known).select("_gram", "template", "t_place")
+    places = _template_places(rows.sparkSession, known).select("_gram", "template", "t_place")
     hits = rolled.join(F.broadcast(places), "_gram", "left")
-    return (
-        hits.groupBy("_row", "_id", "n_words", "template", (F.col("_place") - F.col("t_place")).alias("diagonal"))
-        .agg(F.count(F.lit(1)).alias("votes"), F.min("_place").alias("first"), F.max("_place").alias("last"))
-        .withColumnRenamed("_id", id_col)
-    )
+    voted = hits.groupBy("_row", "_id", "n_words", "template", (F.col("_place") - F.col("t_place")).alias("diagonal"))
+    return voted.agg(F.collect_set("t_place").alias("places"), F.min("_place").alias("first"), F.max("_place").alias("last"))
 
 
-def spans(votes: DataFrame, known: list[Template] | None = None) -> DataFrame:
-    """Verified spans of votes: _row, template, start, end (word places, end exclusive), cover (percent)."""
-    known = templates() if known is None else known
-    grams = F.create_map(*[F.lit(x) for n, t in enumerate(known) for x in (n, t.grams)])
-    phrase = F.create_map(*[F.lit(x) for n, t in enumerate(known) for x in (n, t.phrase)])
-    on = votes.filter("template IS NOT NULL").withColumn("_grams", grams[F.col("template")]).withColumn("_phrase", phrase[F.col("template")])
-    # A phrase's diagonal stands alone; a text's diagonals join where they neighbour in the diagonal and in the text.
+def _about(spark: SparkSession, known: list[Template], *columns: str | Column) -> DataFrame:
+    """(template, columns) of the templates, a table of fixed size: grams (number), phrase, label, kinds (the distinct k-grams)."""
+    rows = [(n, t.grams, t.phrase, t.label, sorted({" ".join(t.words[i : i + GRAM]) for i in range(t.grams)})) for n, t in enumerate(known)]
+    return F.broadcast(spark.createDataFrame(rows, "template int, grams int, phrase boolean, label string, kinds array<string>").select("template", *columns))
+
+
+def candidate_spans(votes: DataFrame, known: list[Template]) -> DataFrame:
+    """(_row, template, phrase, start, end): bands with votes enough, of overlapping ones the best; word places, end exclusive."""
+    on = votes.filter("template IS NOT NULL").join(_about(votes.sparkSession, known, "grams", "phrase"), "template")
     by_diagonal = Window.partitionBy("_row", "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > MERGE_GAP) | F.lag("diagonal").over(by_diagonal).isNull() | F.col("_phrase")
+    band, around = by_diagonal.rangeBetween(0, MERGE_GAP), by_diagonal.rangeBetween(-MERGE_GAP, MERGE_GAP)
+    whole = on.filter("phrase AND size(places) = grams").select("_row", "template", "phrase", F.col("first").alias("start"), (F.col("last") + GRAM).alias("end"))
     merged = (
-        on.withColumn("_new", apart.cast("int"))
-        .withColumn("_band", F.sum("_new").over(by_diagonal.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("_row", "template", "_grams", "_phrase", "_band")
-        .agg(F.sum("votes").alias("_votes"), F.min("first").alias("start"), (F.max("last") + GRAM).alias("end"))
-    )
-    need = F.when(F.col("_phrase"), F.lit(100)).otherwise(F.lit(COVERAGE))
-    return merged.filter(100 * F.col("_votes") >= need * F.col("_grams")).select(
-        "_row", "template", F.col("_phrase").alias("phrase"), "start", "end", F.least(F.lit(100), F.expr("100 * _votes div _grams")).alias("cover")
+        on.filter("NOT phrase")
+        .withColumn("start", F.min("first").over(band))
+        .withColumn("end", F.max("last").over(band) + GRAM)
+        .withColumn("_votes", F.size(F.array_distinct(F.flatten(F.collect_list("places").over(band)))))
+        .filter(100 * F.col("_votes") >= COVERAGE * F.col("grams"))
     )
+    rank = F.struct("_votes", -F.col("diagonal"))
+    best = merged.withColumn("_best", F.max(rank).over(around)).filter(F.col("_best") == rank)
+    return whole.unionByName(best.select("_row", "template", "phrase", "start", "end"))
+
+
+def verified_spans(rows: DataFrame, at: str, text_col: str, candidates: DataFrame, known: list[Template]) -> DataFrame:
+    """candidates, with cover (percent): the share of the template's k-grams that the words of the span hold, as words."""
+    by_row = stage_table(candidates.groupBy("_row").agg(F.collect_list(F.struct("template", "phrase", "start", "end")).alias("_found")), "candidates")
+    held = rows.select(F.col(at).alias("_row"), F.col(text_col).alias("_raw")).join(small_side(by_row), "_row")
+    one = held.select("_row", _words("_raw").alias("_words"), "_found").select("_row", "_words", F.inline("_found")).join(_about(rows.sparkSession, known, "kinds"), "template")
+    rolled = F.expr(f"transform(sequence(start, end - {GRAM}), i -> concat_ws(' ', slice(_words, int(i) + 1, {GRAM})))")
+    share = F.size(F.array_intersect("kinds", rolled)) * 100 / F.size("kinds")
+    need = F.when(F.col("phrase"), F.lit(100)).otherwise(F.lit(COVERAGE))
+    return one.withColumn("cover", F.floor(share)).filter(F.col("cover") >= need).select("_row", "template", "phrase", "start", "end", "cover")
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list[Template] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, found). documents: _row, id_col, n_words of each row of docs; found: the verified spans by _row."""
+    known = templates() if known is None else known
+    at = fresh(docs, "_row")
+    rows = numbered(docs, at)
+    # Stored, or the filters below would be pushed into two scans of the texts.
+    votes = stage_table(diagonal_votes(rows, at, id_col, text_col, known), "votes")
+    found = verified_spans(rows, at, text_col, candidate_spans(votes, known), known)
+    return votes.filter("template IS NULL").select("_row", F.col("_id").alias(id_col), "n_words"), found
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list[Template] | None = None) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     known = templates() if known is None else known
-    # Stored, or the filters below would be pushed into two scans of the texts.
-    votes = stage_table(diagonal_votes(docs, id_col, text_col, known), "votes")
-    label = F.create_map(*[F.lit(x) for n, t in enumerate(known) for x in (n, t.label)])
+    documents, found = spans(docs, id_col, text_col, known)
     best = (
-        spans(votes, known)
-        .withColumn("_label", label[F.col("template")])
+        found.join(_about(docs.sparkSession, known, F.col("label").alias("_label")), "template")
         .groupBy("_row")
         .agg(
             F.count(F.when(F.col("phrase"), 1)).alias("n_base"),
@@ -142,7 +200,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
             (F.max("cover") / 100).alias("score"),
         )
     )
-    return votes.filter("template IS NULL").join(best, "_row", "left").select(
+    return documents.join(best, "_row", "left").select(
         id_col,
         "n_words",
         F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
@@ -155,28 +213,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scan(read_table(spark, sf_dir, "documents"))
 
 
 def _values() -> str:
     known = templates()
-    return ", ".join(f"({n}, {i}, '{' '.join(t.words[i : i + GRAM])}', {t.grams}, '{t.label}', {str(t.phrase).upper()})" for n, t in enumerate(known) for i in range(t.grams))
+    return ", ".join(f"({n}, {i}, '{' '.join(t.words[i : i + GRAM])}', {t.grams}, {len({t.words[j : j + GRAM] for j in range(t.grams)})}, '{t.label}', {str(t.phrase).upper()})" for n, t in enumerate(known) for i in range(t.grams))
 
 
 OP10_SQL = rf"""
-WITH tp(template, t_place, gram, grams, label, phrase) AS (VALUES {_values()}),
+WITH tp(template, t_place, gram, grams, kinds, label, phrase) AS (VALUES {_values()}),
 w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '{re.sub(r"x00", "x{0}", NOT_WORD)}'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, i - 1 AS place, array_to_string(w[i:i + {GRAM - 1}], ' ') AS gram
       FROM (SELECT doc_id, w, unnest(range(1, len(w) - {GRAM - 2})) AS i FROM w)),
-v AS (SELECT doc_id, template, grams, label, phrase, place - t_place AS diagonal, count(*) AS votes, min(place) AS first, max(place) AS last
+v AS (SELECT doc_id, template, grams, kinds, label, phrase, place - t_place AS diagonal, list(t_place) AS places, min(place) AS first, max(place) AS last
       FROM g JOIN tp USING (gram) GROUP BY ALL),
-m AS (SELECT *, CASE WHEN phrase OR diagonal - lag(diagonal) OVER p > {MERGE_GAP} OR lag(diagonal) OVER p IS NULL THEN 1 ELSE 0 END AS fresh
-      FROM v WINDOW p AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-b AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band FROM m),
-s AS (SELECT doc_id, template, grams, label, phrase, band, sum(votes) AS votes, min(first) AS start FROM b GROUP BY ALL),
-k AS (SELECT *, least(100, 100 * votes // grams) AS cover FROM s WHERE 100 * votes >= (CASE WHEN phrase THEN 100 ELSE {COVERAGE} END) * grams),
+b AS (SELECT doc_id, template, grams, kinds, label, phrase, diagonal, len(list_distinct(flatten(list(places) OVER r))) AS got, min(first) OVER r AS s, max(last) OVER r + {GRAM} AS e
+      FROM v WHERE NOT phrase WINDOW r AS (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {MERGE_GAP} FOLLOWING)),
+t AS (SELECT *, max(struct_pack(a := got, b := -diagonal)) OVER n AS best FROM b WHERE 100 * got >= {COVERAGE} * grams
+      WINDOW n AS (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN {MERGE_GAP} PRECEDING AND {MERGE_GAP} FOLLOWING)),
+c AS (SELECT doc_id, t.template, t.kinds, t.label, t.diagonal, count(DISTINCT gram) AS words FROM t JOIN g USING (doc_id) JOIN tp USING (gram)
+      WHERE tp.template = t.template AND place >= s AND place <= e - {GRAM} AND best.a = got AND best.b = -diagonal GROUP BY ALL),
+k AS (SELECT doc_id, label, FALSE AS phrase, 0 AS start, 100 * words // kinds AS cover FROM c WHERE 100 * words // kinds >= {COVERAGE}
+      UNION ALL SELECT doc_id, label, TRUE, first, 100 FROM v WHERE phrase AND len(places) = grams),
 r AS (SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(start) FILTER (phrase) AS first_word, max(start) FILTER (phrase) AS last_word,
         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
         max(cover) / 100 AS score FROM k GROUP BY doc_id)

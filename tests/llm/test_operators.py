@@ -466,6 +466,50 @@ def test_license_places(spark):
     assert rows[5].labels == "mit-text" and 0.6 <= rows[5].score < 1 and rows[0].score == 1.0
 
 
+def test_repeated_openings_are_no_licence(spark):
+    texts = ["licensed under the " * 20, "on the terms of the gnu and " * 30, "this software and that of this software and " * 12, "payment is due under the terms of the plan\n" * 4]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.labels, r.score) for r in rows] == [("", 0.0)] * 4
+
+
+def test_license_spans_against_a_plain_aligner(spark):
+    """Templates with words dropped, added and changed, and their words shuffled, against all bands of all diagonals."""
+    rng = random.Random(12)
+    known, gram, gap = license_scan.templates(), license_scan.GRAM, license_scan.MERGE_GAP
+    texts = []
+    for n in range(120):
+        words = list(rng.choice(known).words)
+        for _ in range(rng.randrange(0, 12)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(0, 3)] = ["filler"] * rng.randrange(0, 3)
+            words = words or ["filler"]
+        if n % 10 == 0:
+            rng.shuffle(words)
+        texts.append(" ".join(["start"] * rng.randrange(0, 5) + words * rng.randrange(1, 3)))
+
+    def plain(text):
+        words, labels = text.split(), set()
+        grams = [tuple(words[i : i + gram]) for i in range(len(words) - gram + 1)]
+        for t in known:
+            own = [t.words[i : i + gram] for i in range(t.grams)]
+            hits = [(p - q, q, p) for p, x in enumerate(grams) for q, y in enumerate(own) if x == y]
+            if t.phrase:
+                found = any(sum(d == e for e, _, _ in hits) == t.grams for d, _, _ in hits)
+            else:
+                bands = {d: [h for h in hits if d <= h[0] <= d + gap] for d in {h[0] for h in hits}}
+                votes = {d: len({q for _, q, _ in b}) for d, b in bands.items() if 100 * len({q for _, q, _ in b}) >= license_scan.COVERAGE * t.grams}
+                best = [d for d, v in votes.items() if (v, -d) == max((w, -e) for e, w in votes.items() if abs(e - d) <= gap)]
+                inside = lambda b: set(grams[min(p for _, _, p in b) : max(p for _, _, p in b) + 1])
+                found = any(100 * len(set(own) & inside(bands[d])) // len(set(own)) >= license_scan.COVERAGE for d in best)
+            if found:
+                labels.add(t.label)
+        return ",".join(sorted(labels))
+
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in rows} == {i: plain(t) for i, t in enumerate(texts)}
+    assert 0 < sum(bool(r.labels) for r in rows) < len(texts)  # the texts hold both kinds
+
+
 def test_license_scan_of_hard_rows(hard, empty):
     assert license_scan.scan(hard).count() == len(HARD) and license_scan.scan(empty).count() == 0
 
