@@ -1,8 +1,9 @@
 """Best-fit-decreasing packing of token ids into fixed rows, with a segment tree over free capacities.
 
-Documents are encoded by a byte-level vocabulary, whose ids give any text back, and split losslessly into segments of at most `context` ids, and dealt by a hash of
-their position to groups of bounded size; each group is packed by itself, so nothing grows with the input but the number of
-groups. Inside a group, segments come longest first (ties: doc_id, part) and go to the row with the least free space that
+Documents are encoded by a byte-level vocabulary, whose ids give any text back, split losslessly into segments of at most
+`context` ids, and dealt by a hash of their position to groups of bounded rows and bytes; each group is packed by itself, so
+nothing grows with the input but the number of groups, which depends on the documents alone. A group leaves at most one row
+less than half full for its shortest segments, of some hundred rows. Inside a group, segments come longest first (ties: doc_id, part) and go to the row with the least free space that
 holds them, found in a segment tree whose leaves are free capacities. A row keeps its segments' ids one after another, the
 cumulative segment lengths, and positions that start again at 0 with each segment.
 
@@ -21,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import arrow_batches, read_table, shuffle_width, text_of
+from cotejo.llm.common import arrow_batches, read_table, text_of
 
-CONTEXT, GROUP_ROWS = 2048, 4096
+CONTEXT, GROUP_ROWS, GROUP_BYTES = 2048, 4096, 4 << 20
 
 
 class CapacityTree:
@@ -99,7 +100,8 @@ def pack_ids(docs: DataFrame, vocabulary: str, context: int = CONTEXT, group_row
     zero-padded). Reading all segments by (doc_id, part) gives every document's ids back."""
     spark = docs.sparkSession
     arrow_batches(spark, 1000)
-    groups = max(-(-docs.count() // group_rows), 2 * shuffle_width(spark))
+    size = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text_of(text_col))).alias("bytes")).first()
+    groups = max(1, -(-size.rows // group_rows), -(-(size.bytes or 0) // GROUP_BYTES))
     with open(vocabulary, encoding="ascii") as f:
         shared = spark.sparkContext.broadcast(f.read())
 

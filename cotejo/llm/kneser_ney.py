@@ -1,14 +1,19 @@
-"""Quality classifier: interpolated modified Kneser-Ney n-grams of symbol classes, trained on trusted text.
+"""Quality classifier: interpolated modified Kneser-Ney n-grams of characters, trained on trusted text, by sharded count joins.
 
-Texts are read as sequences of 32 symbol classes (letters without accents, space, digits, punctuation, other symbols), so a
-model of order 4 has at most 32 ** 4 n-grams a language whatever the corpus. All trusted text is counted, sharded by language
-and n-gram; a language's counts, continuation counts, context totals and lower orders are then joined by n-gram. The tables, of
-proven size (4 MB a language for MAX_LANGS languages, the rest share one pooled model), are broadcast, and each document's
-perplexity is the exponential of its mean negative log probability over its whole text. Scoring by joining every n-gram
-occurrence instead would move about 12 bytes for each of 840 million places of a 0.5 GB table, 20 times the input.
+Texts are read as their characters, ORDER at a time; a text's start is padded. The n-grams of the trusted texts are counted by
+(model, n-gram); lower orders count by how many characters an n-gram is preceded (n-grams that begin a text, by how often). Each
+order's counts are joined with the totals and discounts of their contexts and with the order below, all by n-gram, so counts and
+probabilities are tables that grow with the corpus and no task or driver holds a model. A language of MIN_DOCS trusted documents
+has its own model, whatever their number; all others share one of all trusted text.
 
-Thresholds: per language, the QUANTILE of the trusted documents' perplexity, times MARGIN, and times exp(SHORT / sqrt(n)) for
-a text of n characters, since the mean of few symbols is noisy. A document above its threshold is rejected.
+Scoring: documents form blocks of neighbouring rows. Each block asks for its distinct n-grams, once however often they occur; the
+distinct ones of all blocks are joined with the tables, backing off where an n-gram is unseen; the answers go back to the blocks
+and meet their compressed texts. A document's perplexity is the exponential of the mean negative log probability over its whole
+text. A block is a fixed range of row numbers, so what a task holds does not grow with the table.
+
+Thresholds: one trusted document in FOLDS, by a hash of its id, is kept out of training. Per language, the QUANTILE of these
+documents' perplexity, times MARGIN, and times exp(SHORT / sqrt(n)) for a text of n characters, since the mean of few symbols is
+noisy. A document above its threshold is rejected.
 
 Defined results: null or empty text has no perplexity and is rejected; null lang, and a language with fewer than MIN_DOCS
 trusted documents, take the pooled model and threshold; a doc_id that labels repeat is trusted if any of its rows is; without
@@ -21,202 +26,233 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import arrow_batches, give_back, lean, read_table, release, small_side, stage_table, text_of
+from cotejo.llm.common import arrow_batches, fresh, lean, numbered, read_table, release, small_side, stage_table, text_of
 
-ORDER, BITS = 4, 5
-MAX_LANGS, MIN_DOCS, QUANTILE, MARGIN, SHORT = 32, 30, 0.995, 1.15, 2.5
+ORDER, BLOCK_BITS = 4, 13
+MIN_DOCS, FOLDS, QUANTILE, MARGIN, SHORT = 30, 5, 0.995, 1.15, 2.5
 POOLED = "*"
-#: Cross entropy in steps of 1/1000 nat; no table entry is below FLOOR.
-STEPS, FLOOR = 1000, 1e-9
-
-_SYMBOLS = 1 << BITS
-_CLASSES: list[np.ndarray] = []
-
-
-def _class_table() -> np.ndarray:
-    """Class of each code point below U+10000: 0 text start, 1 space, 2-27 a-z, 28 digit, 29 sentence mark, 30 other mark, 31 other letter."""
-    if not _CLASSES:
-        import unicodedata
-
-        table = np.full(1 << 16, 30, np.uint32)
-        for i in range(1 << 16):
-            c = chr(i)
-            base = unicodedata.normalize("NFD", c)[0].lower()
-            if c.isspace():
-                table[i] = 1
-            elif "a" <= base <= "z" and c.isalpha():
-                table[i] = 2 + ord(base[0]) - ord("a")
-            elif c.isdigit():
-                table[i] = 28
-            elif c in ".,;:?'\"-()":
-                table[i] = 29
-            elif c.isalpha():
-                table[i] = 31
-        _CLASSES.append(table)
-    return _CLASSES[0]
-
-
-def gram_codes(text: str) -> np.ndarray:
-    """The n-gram ending at each symbol, after ORDER - 1 text starts, as an integer of ORDER * BITS bits."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    symbols = _class_table()[np.minimum(points, 0xFFFF)]
-    padded = np.concatenate([np.zeros(ORDER - 1, np.uint32), symbols])
-    codes = np.zeros(len(symbols), np.uint32)
-    for k in range(ORDER):
-        codes = (codes << BITS) | padded[k : k + len(symbols)]
-    return codes
+#: Stands before a text's first character; a text's own ones become U+FFFD.
+PAD = "\u0002"
+#: Quantiles are exact on steps of 1/1000 nat.
+STEPS = 1000
+
+
+def _windows(texts: list[str]) -> np.ndarray:
+    """The n-grams of all texts as rows of ORDER code points, in order, one for each character."""
+    start = PAD * (ORDER - 1)
+    points = np.frombuffer((start + start.join(t.replace(PAD, "�") for t in texts)).encode("utf-32-le"), "<u4")
+    views = np.lib.stride_tricks.sliding_window_view(points, ORDER)
+    return views[views[:, -1] != ord(PAD)]
+
+
+def _hashes(windows: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(windows), np.uint64)
+    for k in range(windows.shape[1]):
+        h = (h ^ windows[:, k]) * np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _strings(windows: np.ndarray) -> list[str]:
+    flat = np.ascontiguousarray(windows, "<u4").tobytes().decode("utf-32-le")
+    return [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)]
+
+
+def _by_key(keys: list, texts: list[str]) -> dict[object, list[str]]:
+    found: dict[object, list[str]] = {}
+    for key, text in zip(keys, texts):
+        found.setdefault(key, []).append(text)
+    return found
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, gram, n): the sums of one task, which are bounded by languages times n-grams."""
-    sums: dict[str, np.ndarray] = {}
+    """(model, text) to (model, gram, n), summed within a batch."""
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if lang not in sums:
-                sums[lang] = np.zeros(1 << (ORDER * BITS), np.int64)
-            codes = gram_codes(text)
-            grams, n = np.unique(codes, return_counts=True)
-            sums[lang][grams] += n
-    for lang, n in sums.items():
-        grams = np.flatnonzero(n)
-        for at in range(0, len(grams), 10_000):
-            part = grams[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.int64()), pa.array(n[part], pa.int64())], ["lang", "gram", "n"])
-
-
-def trusted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, text) of the documents labelled of quality 1 and not toxic."""
-    ids = stage_table(labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("_id")).distinct(), "trusted-ids")
-    ids = small_side(ids)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
-    return rows.join(ids, "_id", "left_semi").select("lang", "text")
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """D by count 0, 1, 2, 3 and more, of Chen and Goodman's closed form, each within 0 and its count."""
-    n1, n2, n3, n4 = (int((n == k).sum()) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
-    form = [k - (k + 1) * y * more / have if have else k * 0.5 for k, have, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    return np.array([0.0, *[min(k, max(0.0, d)) for k, d in zip((1.0, 2.0, 3.0), form)]])
-
-
-def fit(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Log probability of each of the 32 ** ORDER n-grams, from the counts of the seen ones.
-
-    Lower orders count by how many symbols an n-gram is preceded. Every order joins its counts to its contexts' totals and to
-    the lower order by n-gram; here the keys are places of an array.
-    """
-    levels = {ORDER: (gram, n)}
-    for order in range(ORDER - 1, 0, -1):
-        shorter, preceded = np.unique(levels[order + 1][0] & ((1 << (BITS * order)) - 1), return_counts=True)
-        levels[order] = (shorter, preceded)
-    dense = np.full(1, 1.0 / _SYMBOLS)
-    for order in range(1, ORDER + 1):
-        seen, count = levels[order]
-        d = _discounts(count)[np.minimum(count, 3)]
-        context = seen >> BITS
-        total = np.bincount(context, count, 1 << (BITS * (order - 1)))
-        weight = np.where(total > 0, np.bincount(context, d, len(total)) / np.maximum(total, 1), 1.0)
-        places = np.arange(1 << (BITS * order))
-        dense = weight[places >> BITS] * dense[places & (len(dense) - 1)]
-        dense[seen] += np.maximum(count - d, 0) / total[context]
-    return np.log(np.maximum(dense, FLOOR)).astype("<f4")
-
-
-def _fit_language(table: pa.Table) -> pa.Table:
-    return pa.table({"lang": [table.column("lang")[0].as_py()], "model": pa.array([fit(table.column("gram").to_numpy(), table.column("n").to_numpy()).tobytes()], pa.binary())})
-
-
-def train(texts: DataFrame) -> dict[str, np.ndarray]:
-    """Log probabilities by language: arrays of 32 ** ORDER entries. A language's counts, of bounded number, meet in one task;
-    the pooled model counts all trusted text."""
-    spark = texts.sparkSession
+        for model, texts in _by_key(batch.column(0).to_pylist(), batch.column(1).to_pylist()).items():
+            windows = _windows(texts)
+            _, at, n = np.unique(_hashes(windows), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([model] * len(at), pa.string()), pa.array(_strings(windows[at]), pa.string()), pa.array(n, pa.int64())], ["model", "gram", "n"])
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, model, text) to the (block, model, gram) that the task has not asked for yet."""
+    seen: dict[object, np.ndarray] = {}
+    for batch in batches:
+        groups = _by_key(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), batch.column(2).to_pylist())
+        seen = {k: v for k, v in seen.items() if k in groups}
+        for (block, model), texts in groups.items():
+            windows = _windows(texts)
+            hashes, at = np.unique(_hashes(windows), return_index=True)
+            old = seen.get((block, model), np.empty(0, np.uint64))
+            at = at[~np.isin(hashes, old)]
+            seen[(block, model)] = np.union1d(old, hashes)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(at), pa.int64()), pa.array([model] * len(at), pa.string()), pa.array(_strings(windows[at]), pa.string())], ["block", "model", "gram"])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, ...) to (block, rows): the rows of each block in a batch as one compressed Arrow stream."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        names, packed = [], []
+        for a, b in zip(edges, edges[1:]):
+            if a < b:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+                    out.write_batch(batch.slice(a, b - a))
+                names.append(int(blocks[a]))
+                packed.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], ["block", "rows"])
+
+
+def _score(packed: pa.Table, answers: pa.Table) -> pa.Table:
+    """The packed rows of a block and its answers (model, gram, logp) to (_at, _doc, lang, model, n_chars, ce)."""
+    tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    models = np.asarray(answers.column("model").to_pylist(), object)
+    for model in set(models.tolist()):
+        part = answers.filter(pa.array(models == model))
+        points = np.frombuffer("".join(part.column("gram").to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
+        hashes, at = np.unique(_hashes(points), return_index=True)
+        tables[model] = hashes, part.column("logp").to_numpy()[at]
+    out = []
+    for rows in packed.column("rows").to_pylist():
+        batch = pa.ipc.open_stream(rows).read_all()
+        entropy = []
+        for model, text in zip(batch.column("model").to_pylist(), batch.column("text").to_pylist()):
+            if not text or model not in tables:
+                entropy.append(None)
+                continue
+            hashes, logp = tables[model]
+            entropy.append(-float(logp[np.searchsorted(hashes, _hashes(_windows([text])))].mean(dtype=np.float64)))
+        n_chars = pa.array([len(t) for t in batch.column("text").to_pylist()], pa.int64())
+        out.append(pa.table([batch.column(c) for c in ("_at", "_doc", "lang", "model")] + [n_chars, pa.array(entropy, pa.float64())], ["_at", "_doc", "lang", "model", "n_chars", "ce"]))
+    schema = pa.schema([("_at", pa.int64()), ("_doc", pa.int64()), ("lang", pa.string()), ("model", pa.string()), ("n_chars", pa.int64()), ("ce", pa.float64())])
+    return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
+
+
+def _discount(n: str) -> str:
+    return f"CASE WHEN {n} >= 3 THEN d3 WHEN {n} = 2 THEN d2 ELSE d1 END"
+
+
+def train(texts: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataFrame], DataFrame]:
+    """(model, text) to the tables of the models: by order k, (model, gram, p) of the seen n-grams and (model, context, bow), the
+    weight that a context leaves to the order below; and (model, unknown), the probability of a character never seen."""
+    arrow_batches(texts.sparkSession, 1000)
+    counted = texts.mapInArrow(lean(_count), "model string, gram string, n long")
+    own = stage_table(counted.groupBy("model", "gram").agg(F.sum("n").alias("n")), "grams")
+    pooled = own.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("model"), "gram", "n")
+    levels = {ORDER: stage_table(own.filter(F.col("model") != POOLED).unionByName(pooled), f"counts-{ORDER}")}
+    release(own)
+    for k in range(ORDER - 1, 0, -1):
+        shorter = levels[k + 1].groupBy("model", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("preceded"), F.sum("n").alias("n"))
+        levels[k] = stage_table(shorter.select("model", "gram", F.when(F.col("gram").startswith(PAD), F.col("n")).otherwise(F.col("preceded")).alias("n")), f"counts-{k}")
+    seen: dict[int, DataFrame] = {}
+    backoff: dict[int, DataFrame] = {}
+    unknown = None
+    for k in range(1, ORDER + 1):
+        # Chen and Goodman's closed form, each discount within 0 and its count.
+        of = levels[k].groupBy("model").agg(*[F.count_if(F.col("n") == j).cast("double").alias(f"n{j}") for j in (1, 2, 3, 4)], F.count(F.lit(1)).alias("kinds"))
+        y = "if(n1 + 2 * n2 > 0, n1 / (n1 + 2 * n2), 0.5D)"
+        forms = [f"if(n{j} > 0, least({j}D, greatest(0D, {j} - {j + 1} * {y} * n{j + 1} / n{j})), {j} * 0.5D) AS d{j}" for j in (1, 2, 3)]
+        of = small_side(stage_table(of.selectExpr("model", "kinds", *forms), f"discounts-{k}"))
+        cells = levels[k].join(of, "model").withColumn("d", F.expr(_discount("n"))).withColumn("context", F.expr(f"substring(gram, 1, {k - 1})"))
+        contexts = cells.groupBy("model", "context", "kinds").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
+        contexts = stage_table(contexts.select("model", "context", "kinds", "total", (F.col("left") / F.col("total")).alias("bow")), f"contexts-{k}")
+        joined = cells.drop("kinds").join(contexts, ["model", "context"])
+        if k == 1:
+            uniform = F.col("bow") / (F.col("kinds") + 1)
+            unknown = stage_table(contexts.select("model", uniform.alias("unknown")), "unknown")
+            lower = uniform
+        else:
+            below = seen[k - 1].select("model", F.col("gram").alias("suffix"), F.col("p").alias("below"))
+            joined = joined.withColumn("suffix", F.expr("substring(gram, 2)")).join(below, ["model", "suffix"])
+            lower = F.col("bow") * F.col("below")
+        seen[k] = stage_table(joined.select("model", "gram", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + lower).alias("p")), f"seen-{k}")
+        backoff[k] = contexts.select("model", "context", "bow")
+    release(*levels.values())
+    return seen, backoff, unknown
+
+
+def log_probabilities(asked: DataFrame, seen: dict[int, DataFrame], backoff: dict[int, DataFrame], unknown: DataFrame) -> DataFrame:
+    """Distinct (model, gram) to (model, gram, logp), without those of models that have no text."""
+    found = asked.join(small_side(unknown), "model")
+    p = F.col("unknown")
+    for k in range(1, ORDER + 1):
+        tail = f"substring(gram, {ORDER - k + 1}, {k})"
+        found = found.withColumn("_tail", F.expr(tail)).join(seen[k].select("model", F.col("gram").alias("_tail"), F.col("p").alias(f"p{k}")), ["model", "_tail"], "left").drop("_tail")
+        if k > 1:
+            found = found.withColumn("_context", F.expr(f"substring(gram, {ORDER - k + 1}, {k - 1})"))
+            found = found.join(backoff[k].select("model", F.col("context").alias("_context"), F.col("bow").alias(f"b{k}")), ["model", "_context"], "left").drop("_context")
+            p = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"b{k}"), F.lit(1.0)) * p)
+        else:
+            p = F.coalesce(F.col("p1"), p)
+    return found.select("model", "gram", F.log(p).cast("float").alias("logp"))
+
+
+def _trusted_ids(labels: DataFrame) -> DataFrame:
+    """(_doc, _held) of the documents labelled of quality 1 and not toxic; _held: kept out of training."""
+    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_doc")).distinct()
+    return stage_table(good.withColumn("_held", F.pmod(F.xxhash64("_doc"), F.lit(FOLDS)) == 0), "trusted-ids")
+
+
+def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(model, ce) of held-out trusted documents to (model, bound): the greatest accepted cross entropy, for POOLED from all."""
+    steps = scored.filter("ce IS NOT NULL").select(F.explode(F.array_distinct(F.array(F.col("model"), F.lit(POOLED)))).alias("model"), F.floor(F.col("ce") * STEPS).alias("step"))
+    counted = steps.groupBy("model", "step").agg(F.count(F.lit(1)).alias("n"))
+    # A window over steps of 1/1000 nat: their number does not depend on the input.
+    by_model = Window.partitionBy("model")
+    passed = F.sum("n").over(by_model.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    enough = counted.withColumn("passed", passed).withColumn("total", F.sum("n").over(by_model)).filter(F.col("passed") >= quantile * F.col("total"))
+    return enough.groupBy("model").agg(((F.min("step") + 1) / STEPS + float(np.log(MARGIN))).alias("bound"))
+
+
+def _judged(rows: DataFrame, at: str, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(_at, _doc, lang, perplexity, threshold, kept): one row per row of rows, whose numbers are in column `at`. Stored."""
+    spark = rows.sparkSession
     arrow_batches(spark, 1000)
-    docs_by = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(f"lang IS NOT NULL AND n >= {MIN_DOCS}")
-    own = [r[0] for r in docs_by.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
-    named = F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(POOLED))
-    counted = texts.select(named.alias("lang"), "text").mapInArrow(lean(_count), "lang string, gram long, n long")
-    grams = stage_table(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    pooled = grams.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
-    every = grams.filter(F.col("lang") != POOLED).unionByName(pooled)
-    models = every.groupBy("lang").applyInArrow(_fit_language, "lang string, model binary").collect()
-    release(grams)
-    return {r.lang: np.frombuffer(r.model, "<f4") for r in models}
-
-
-def cross_entropy(shared: Broadcast, lang: Column, text: Column) -> Column:
-    """Mean negative log probability of text's symbols in nats; null without symbols or model. shared: train()'s tables."""
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        tables = shared.value
-        pooled = tables.get(POOLED)
-        for langs, texts in batches:
-            out = []
-            for name, t in zip(langs, texts):
-                table = tables.get(name, pooled)
-                out.append(-float(table[gram_codes(t)].mean(dtype=np.float64)) if t and table is not None else None)
-            yield pd.Series(out, dtype="float64")
-        give_back()
-
-    return score(F.coalesce(lang.cast("string"), F.lit(POOLED)), text)
-
-
-def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> dict[str, float]:
-    """(lang, ce) of trusted documents to the greatest accepted cross entropy by language and for POOLED.
-
-    Quantiles are exact on steps of 1/1000 nat, whose number does not depend on the input.
-    """
-    steps: dict[str, dict[int, int]] = {}
-    for lang, step, n in scored.filter("ce IS NOT NULL").groupBy("lang", F.floor(F.col("ce") * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect():
-        for name in {lang, POOLED} - {None}:
-            own = steps.setdefault(name, {})
-            own[step] = own.get(step, 0) + n
-    bounds = {}
-    for lang, own in steps.items():
-        total, passed = sum(own.values()), 0
-        for step in sorted(own):
-            passed += own[step]
-            if passed >= quantile * total:
-                break
-        if total >= MIN_DOCS or lang == POOLED:
-            bounds[lang] = (step + 1) / STEPS + float(np.log(MARGIN))
-    return bounds
+    ids = _trusted_ids(labels)
+    few_ids = small_side(ids)
+    docs = rows.select(F.col(at).alias("_at"), F.col(id_col).cast("long").alias("_doc"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
+    own = docs.join(few_ids, "_doc").filter("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(f"n >= {MIN_DOCS}")
+    own = small_side(stage_table(own.select("lang", F.col("lang").alias("_model")), "languages"))
+    docs = docs.join(own, "lang", "left").withColumn("model", F.coalesce("_model", F.lit(POOLED)))
+    model = train(docs.join(few_ids.filter("NOT _held"), "_doc").filter("text <> ''").select("model", "text"))
+    blocked = docs.withColumn("block", F.shiftright("_at", BLOCK_BITS))
+    asked = stage_table(blocked.filter("text <> ''").select("block", "model", "text").mapInArrow(lean(_ask), "block long, model string, gram string"), "asked")
+    known = stage_table(log_probabilities(asked.select("model", "gram").distinct(), *model), "answers")
+    release(*model[0].values())
+    packed = blocked.select("block", "_at", "_doc", "lang", "model", "text").mapInArrow(lean(_pack), "block long, rows binary")
+    answers = asked.join(known, ["model", "gram"])
+    scored = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "_at long, _doc long, lang string, model string, n_chars long, ce double")
+    scored = stage_table(scored, "scored")
+    release(asked, known)
+    bounds = stage_table(thresholds(scored.join(small_side(ids).filter("_held"), "_doc").select("model", "ce")), "bounds")
+    pooled: Column = F.first(F.when(F.col("model") == POOLED, F.col("bound")), ignorenulls=True)
+    general = bounds.agg(pooled.alias("general")).first().general
+    bound = F.coalesce("bound", F.lit(general).cast("double")) + F.lit(SHORT) / F.sqrt(F.greatest("n_chars", F.lit(1)))
+    joined = scored.join(small_side(bounds), "model", "left").withColumn("_bound", bound)
+    kept = (F.col("n_chars") > 0) & F.coalesce(F.col("ce") <= F.col("_bound"), F.lit(True))
+    return joined.select("_at", "_doc", "lang", F.exp("ce").alias("perplexity"), F.exp("_bound").alias("threshold"), kept.alias("kept"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with _perplexity, _threshold (double) and _kept (boolean)."""
-    spark = docs.sparkSession
-    known = trusted(docs, labels, id_col, text_col, lang_col)
-    shared = spark.sparkContext.broadcast(train(known))
-    arrow_batches(spark, 1000)
-    lang, text = F.col(lang_col), text_of(text_col)
-    bounds = thresholds(known.select("lang", cross_entropy(shared, F.col("lang"), F.col("text")).alias("ce")))
-    bound = F.lit(bounds.get(POOLED)).cast("double")
-    for name, b in bounds.items():
-        bound = F.when(lang == name, F.lit(b)).otherwise(bound)
-    bound = bound + F.lit(SHORT) / F.sqrt(F.greatest(F.length(text), F.lit(1)))
-    return (
-        docs.withColumn("_ce", cross_entropy(shared, lang, text))
-        .withColumn("_perplexity", F.exp("_ce"))
-        .withColumn("_threshold", F.exp(bound))
-        .withColumn("_kept", (text != "") & F.coalesce(F.col("_ce") <= bound, F.lit(True)))
-        .drop("_ce")
-    )
+    """One row per row of docs: id_col, lang, perplexity, threshold (double), kept (boolean)."""
+    at = fresh(docs, "_at")
+    return _judged(numbered(docs, at), at, labels, id_col, text_col, lang_col).drop("_at").withColumnRenamed("_doc", id_col)
 
 
 def keep_fluent(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rejected rows."""
-    return judge(docs, labels).filter("_kept").select(*docs.columns)
+    at = fresh(docs, "_at")
+    rows = numbered(docs, at)
+    gone = _judged(rows, at, labels, "doc_id", "text", "lang").filter("NOT kept").select(F.col("_at").alias(at))
+    return rows.join(small_side(stage_table(gone, "rejected")), at, "left_anti").select(*docs.columns)
 
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    judged = judge(docs, read_table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_threshold").alias("threshold"), F.col("_kept").alias("kept"))
+    return judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

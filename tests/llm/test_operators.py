@@ -236,50 +236,96 @@ def test_components_of_paths_and_stars(spark):
 # ---- Kneser-Ney
 
 
-def test_model_is_a_distribution_and_matches_a_plain_one():
-    rng = random.Random(5)
-    text = "".join(rng.choice(["the ", "cat ", "sat ", "on ", "a ", "mat. "]) for _ in range(400))
-    codes, n = np.unique(kneser_ney.gram_codes(text), return_counts=True)
-    model = np.exp(kneser_ney.fit(codes.astype(np.int64), n).astype(np.float64)).reshape(-1, 32)
-    assert np.allclose(model.sum(1), 1, atol=1e-4)
-    counts = {4: Counter(dict(zip(codes.tolist(), n.tolist())))}
-    for k in (3, 2, 1):
-        counts[k] = Counter(g & ((1 << (5 * k)) - 1) for g in counts[k + 1])
-
-    def plain(gram, k):
-        if k == 0:
-            return 1 / 32
-        own = counts[k]
-        c = [sum(1 for v in own.values() if v == j) for j in range(5)]
+def plain_model(texts, order=4):
+    """Interpolated modified Kneser-Ney as dictionaries; returns the probability of an n-gram."""
+    pad = kneser_ney.PAD
+    counts = {order: Counter(t[i : i + order] for t in (pad * (order - 1) + x for x in texts) for i in range(len(t) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        preceded, raw = Counter(g[1:] for g in counts[k + 1]), Counter()
+        for g, n in counts[k + 1].items():
+            raw[g[1:]] += n
+        counts[k] = {g: raw[g] if g[0] == pad else n for g, n in preceded.items()}
+    tables = {}
+    for k, own in counts.items():
+        c = [0] + [sum(v == j for v in own.values()) for j in (1, 2, 3, 4)]
         y = c[1] / (c[1] + 2 * c[2]) if c[1] + 2 * c[2] else 0.5
         d = [0] + [min(j, max(0.0, j - (j + 1) * y * c[j + 1] / c[j])) if c[j] else j * 0.5 for j in (1, 2, 3)]
-        follow = {g: v for g, v in own.items() if g >> 5 == gram >> 5}
-        below = plain(gram & ((1 << (5 * (k - 1))) - 1), k - 1)
-        if not follow:
-            return below
-        total = sum(follow.values())
-        return max(0, own[gram] - d[min(3, own[gram])]) / total + sum(d[min(3, v)] for v in follow.values()) / total * below
+        total, left = Counter(), Counter()
+        for g, n in own.items():
+            total[g[:-1]] += n
+            left[g[:-1]] += d[min(3, n)]
+        tables[k] = own, d, total, left
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(counts[1]) + 1)
+        own, d, total, left = tables[len(gram)]
+        n, context = own.get(gram, 0), gram[:-1]
+        if not total[context]:
+            return p(gram[1:])
+        return (max(0, n - d[min(3, n)]) + left[context] * p(gram[1:])) / total[context]
+
+    return p
 
-    for g in [*codes[:40].tolist(), 0, 12345, 999_999]:
-        assert plain(int(g), 4) == pytest.approx(model[g >> 5, g & 31], rel=1e-3)
 
+def grams_of(text, order=4):
+    t = kneser_ney.PAD * (order - 1) + text
+    return [t[i : i + order] for i in range(len(text))]
 
-def test_classifier_keeps_fluent_text(spark, monkeypatch):
+
+def test_joined_model_is_the_plain_one(spark):
+    rng = random.Random(5)
+    texts = {"en": ["".join(rng.choice(["the ", "cat ", "sat ", "on ", "a ", "mat. "]) for _ in range(60)) for _ in range(6)], "ru": ["".join(rng.choice(["кот ", "сел ", "на "]) for _ in range(40)) for _ in range(5)]}
+    model = kneser_ney.train(spark.createDataFrame([(lang, t) for lang, own in texts.items() for t in own], "model string, text string"))
+    asked = sorted({g for own in texts.values() for t in own for g in grams_of(t)} | {"zzzz", "the\u4e2d", "\u4e2dthe", "catт", "кото", kneser_ney.PAD * 3 + "q"})
+    frame = spark.createDataFrame([(m, g) for m in ("en", "ru", "*", "none") for g in asked], "model string, gram string")
+    got = {(r.model, r.gram): r.logp for r in kneser_ney.log_probabilities(frame, *model).collect()}
+    assert {m for m, _ in got} == {"en", "ru", "*"}
+    for name, own in (*texts.items(), ("*", texts["en"] + texts["ru"])):
+        p = plain_model(own)
+        for g in asked:
+            assert got[name, g] == pytest.approx(float(np.log(p(g))), rel=1e-4)
+        symbols = {c for t in own for c in t} | {"\u4e2d"}
+        assert sum(p("the"[:3] + c) for c in symbols) == pytest.approx(1, abs=1e-9)
+
+
+def test_verdict_against_a_plain_one(spark, monkeypatch):
+    """Perplexities, thresholds and verdicts of two languages, blocks of 4 rows, and 33 further languages that share a model."""
     monkeypatch.setattr(kneser_ney, "MIN_DOCS", 5)
+    monkeypatch.setattr(kneser_ney, "BLOCK_BITS", 2)
     rng = random.Random(6)
-    good = lambda: " ".join(rng.choice("the cat sat on a mat and then it ran to the old house".split()) for _ in range(60)) + "."
-    docs = [(i, good(), "en") for i in range(60)] + [(100 + i, "".join(rng.choice("#$%&*!§@ZQX|") for _ in range(300)), "en") for i in range(10)] + [(200, None, None), (201, good(), None)]
-    labelled = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
-    rows = {r.doc_id: r for r in kneser_ney.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labelled).collect()}
-    assert all(rows[i]._kept for i in [*range(60), 201]) and not any(rows[100 + i]._kept for i in range(10))
-    assert not rows[200]._kept and rows[200]._perplexity is None
+    words = {"en": "the cat sat on a mat and then it ran to the old house".split(), "ru": "кот сел на старый дом и потом ушёл".split()}
+    good = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(60)) + "."
+    docs = [(i, good("en" if i % 2 else "ru"), "en" if i % 2 else "ru") for i in range(120)]
+    docs += [(200 + i, "".join(rng.choice("#$%&*!§@ZQX|") for _ in range(300)), "en") for i in range(10)] + [(300, None, None), (301, good("en"), None), (302, "", "en")]
+    docs += [(310 + i, "".join(rng.sample(list(good("ru")), 200)), "ru") for i in range(5)] + [(400 + i, good("en"), f"l{i}") for i in range(33)]
+    labelled = [(i, 1, 0) for i in range(80)] + [(90, 0, 0), (91, 1, 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in kneser_ney.judge(frame, spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")).collect()}
+    ids = spark.createDataFrame([(i,) for i in range(80)], "d long").selectExpr("d", f"pmod(xxhash64(d), {kneser_ney.FOLDS}) = 0 AS held").collect()
+    held = {r.d for r in ids if r.held}
+    text_of = {i: t for i, t, _ in docs}
+    models = {m: plain_model([text_of[i] for i in range(80) if i not in held and (m == "*" or m == ("en" if i % 2 else "ru"))]) for m in ("en", "ru", "*")}
+    entropy = lambda m, t: -sum(np.log(models[m](g)) for g in grams_of(t)) / len(t)
+    steps = {m: sorted(int(entropy("en" if i % 2 else "ru", text_of[i]) * 1000 // 1) for i in held if m == "*" or m == ("en" if i % 2 else "ru")) for m in models}
+    for i, t, lang in docs:
+        if not t:
+            assert not rows[i].kept and rows[i].perplexity is None
+            continue
+        m = lang if lang in ("en", "ru") else "*"
+        ce = entropy(m, t)
+        bound = (steps[m][-1] + 1) / 1000 + np.log(kneser_ney.MARGIN) + kneser_ney.SHORT / len(t) ** 0.5
+        assert rows[i].perplexity == pytest.approx(np.exp(ce), rel=1e-3) and np.log(rows[i].threshold) == pytest.approx(bound, abs=2e-3)
+        assert rows[i].kept == (rows[i].perplexity <= rows[i].threshold)
+    assert all(rows[i].kept for i in [*range(120), 301]) and not any(rows[200 + i].kept for i in range(10)) and not any(rows[310 + i].kept for i in range(5))
 
 
 def test_classifier_of_hard_rows(hard, empty, labels):
     assert kneser_ney.judge(hard, labels).count() == len(HARD)
     assert kneser_ney.judge(empty, labels).count() == 0
-    kept = kneser_ney.judge(hard, labels.filter("false")).filter("_kept").count()
+    kept = kneser_ney.judge(hard, labels.filter("false")).filter("kept").count()
     assert kept == sum(1 for r in HARD if r[1])
+    assert kneser_ney.keep_fluent(hard, labels.filter("false")).columns == hard.columns
 
 
 # ---- personal data
