@@ -27,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.llm.common import arrow_batches, fresh, lean, numbered, read_table, release, small_side, stage_table, text_of
@@ -41,25 +42,71 @@ PAD = "\u0002"
 STEPS = 1000
 
 
-def _windows(texts: list[str]) -> np.ndarray:
-    """The n-grams of all texts as rows of ORDER code points, in order, one for each character."""
+def _points(texts: list[str]) -> np.ndarray:
+    """The code points of all texts, each after its padding."""
     start = PAD * (ORDER - 1)
-    points = np.frombuffer((start + start.join(t.replace(PAD, "�") for t in texts)).encode("utf-32-le"), "<u4")
-    views = np.lib.stride_tricks.sliding_window_view(points, ORDER)
-    return views[views[:, -1] != ord(PAD)]
-
-
-def _hashes(windows: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(windows), np.uint64)
-    for k in range(windows.shape[1]):
-        h = (h ^ windows[:, k]) * np.uint64(0x9FB21C651E98DF25)
-        h ^= h >> np.uint64(29)
-    return h
-
-
-def _strings(windows: np.ndarray) -> list[str]:
-    flat = np.ascontiguousarray(windows, "<u4").tobytes().decode("utf-32-le")
-    return [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)]
+    return np.frombuffer((start + start.join(t.replace(PAD, "\ufffd") for t in texts)).encode("utf-32-le"), "<u4")
+
+
+def _windows(points: np.ndarray) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(points, ORDER)
+
+
+def _codes(points: np.ndarray) -> np.ndarray:
+    """The n-gram at each place as 64 bits: its code points where all are below U+10000, else a hash of them."""
+    narrow = np.ascontiguousarray(points, "<u2")
+    codes = np.ndarray((len(points) - ORDER + 1,), "<u8", narrow.tobytes(), 0, (2,)).copy()
+    if len(points) and points.max() > 0xFFFF:
+        windows = _windows(points)
+        wide = np.flatnonzero((windows > 0xFFFF).any(1))
+        h = np.zeros(len(wide), np.uint64)
+        for k in range(ORDER):
+            h = (h ^ windows[wide, k]) * np.uint64(0x9FB21C651E98DF25)
+            h ^= h >> np.uint64(29)
+        codes[wide] = h
+    return codes
+
+
+def _distinct(points: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, list[str]]:
+    """The distinct codes of the n-grams that end with a character and are not in known, and the n-grams."""
+    ends = points[ORDER - 1 :] != ord(PAD)
+    all_codes = _codes(points)
+    codes = np.unique(all_codes[ends])
+    if known is not None and len(known):
+        codes = codes[~np.isin(codes, known)]
+    if points.max(initial=0) <= 0xFFFF:
+        flat = codes.view("<u2").astype("<u4").tobytes().decode("utf-32-le")
+    else:
+        order = np.argsort(all_codes, kind="stable")
+        first = order[np.searchsorted(all_codes, codes, sorter=order)]
+        flat = np.ascontiguousarray(_windows(points)[first]).tobytes().decode("utf-32-le")
+    return codes, [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)]
+
+
+def _lookup(grams: list[str], logp: np.ndarray):
+    """A function from padded code points, all of whose n-grams are among grams, to their log probabilities. Up to 256 characters
+    it goes through tables of the first three characters and the fourth, else through a binary search."""
+    points = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
+    alphabet = np.unique(points)
+    if len(alphabet) > 256 or alphabet[-1] > 0xFFFF:
+        codes = np.concatenate([_codes(p) for p in points])
+        order = np.argsort(codes)
+        codes, logp = codes[order], logp[order]
+        return lambda p: logp[np.searchsorted(codes, _codes(p))]
+    bits = max(1, int(len(alphabet) - 1).bit_length())
+    number = np.zeros(1 << 16, np.int32)
+    number[alphabet] = np.arange(len(alphabet))
+    ids = number[points]
+    heads, row = np.unique((ids[:, 0] << 2 * bits) | (ids[:, 1] << bits) | ids[:, 2], return_inverse=True)
+    rows, cells = np.zeros(1 << 3 * bits, np.int32), np.zeros(len(heads) << bits, np.float32)
+    rows[heads] = np.arange(len(heads))
+    cells[(row << bits) | ids[:, 3]] = logp
+
+    def look(p: np.ndarray) -> np.ndarray:
+        i = number[p]
+        return cells[(rows[(i[:-3] << 2 * bits) | (i[1:-2] << bits) | i[2:-1]] << bits) | i[3:]]
+
+    return look
 
 
 def _by_key(keys: list, texts: list[str]) -> dict[object, list[str]]:
@@ -73,9 +120,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(model, text) to (model, gram, n), summed within a batch."""
     for batch in batches:
         for model, texts in _by_key(batch.column(0).to_pylist(), batch.column(1).to_pylist()).items():
-            windows = _windows(texts)
-            _, at, n = np.unique(_hashes(windows), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([model] * len(at), pa.string()), pa.array(_strings(windows[at]), pa.string()), pa.array(n, pa.int64())], ["model", "gram", "n"])
+            points = _points(texts)
+            codes, grams = _distinct(points)
+            _, n = np.unique(_codes(points)[points[ORDER - 1 :] != ord(PAD)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([model] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64())], ["model", "gram", "n"])
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,12 +133,10 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = _by_key(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), batch.column(2).to_pylist())
         seen = {k: v for k, v in seen.items() if k in groups}
         for (block, model), texts in groups.items():
-            windows = _windows(texts)
-            hashes, at = np.unique(_hashes(windows), return_index=True)
             old = seen.get((block, model), np.empty(0, np.uint64))
-            at = at[~np.isin(hashes, old)]
-            seen[(block, model)] = np.union1d(old, hashes)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(at), pa.int64()), pa.array([model] * len(at), pa.string()), pa.array(_strings(windows[at]), pa.string())], ["block", "model", "gram"])
+            codes, grams = _distinct(_points(texts), old)
+            seen[(block, model)] = np.union1d(old, codes)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int64()), pa.array([model] * len(grams), pa.string()), pa.array(grams, pa.string())], ["block", "model", "gram"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,23 +158,17 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(packed: pa.Table, answers: pa.Table) -> pa.Table:
     """The packed rows of a block and its answers (model, gram, logp) to (_at, _doc, lang, model, n_chars, ce)."""
-    tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    models = np.asarray(answers.column("model").to_pylist(), object)
-    for model in set(models.tolist()):
-        part = answers.filter(pa.array(models == model))
-        points = np.frombuffer("".join(part.column("gram").to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
-        hashes, at = np.unique(_hashes(points), return_index=True)
-        tables[model] = hashes, part.column("logp").to_numpy()[at]
+    tables = {}
+    names = answers.column("model")
+    for model in names.unique().to_pylist():
+        part = answers.filter(pa.compute.equal(names, model))
+        tables[model] = _lookup(part.column("gram").to_pylist(), part.column("logp").to_numpy())
     out = []
     for rows in packed.column("rows").to_pylist():
         batch = pa.ipc.open_stream(rows).read_all()
         entropy = []
         for model, text in zip(batch.column("model").to_pylist(), batch.column("text").to_pylist()):
-            if not text or model not in tables:
-                entropy.append(None)
-                continue
-            hashes, logp = tables[model]
-            entropy.append(-float(logp[np.searchsorted(hashes, _hashes(_windows([text])))].mean(dtype=np.float64)))
+            entropy.append(-float(tables[model](_points([text])).mean(dtype=np.float64)) if text and model in tables else None)
         n_chars = pa.array([len(t) for t in batch.column("text").to_pylist()], pa.int64())
         out.append(pa.table([batch.column(c) for c in ("_at", "_doc", "lang", "model")] + [n_chars, pa.array(entropy, pa.float64())], ["_at", "_doc", "lang", "model", "n_chars", "ce"]))
     schema = pa.schema([("_at", pa.int64()), ("_doc", pa.int64()), ("lang", pa.string()), ("model", pa.string()), ("n_chars", pa.int64()), ("ce", pa.float64())])
@@ -203,12 +243,9 @@ def _trusted_ids(labels: DataFrame) -> DataFrame:
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(model, ce) of held-out trusted documents to (model, bound): the greatest accepted cross entropy, for POOLED from all."""
     steps = scored.filter("ce IS NOT NULL").select(F.explode(F.array_distinct(F.array(F.col("model"), F.lit(POOLED)))).alias("model"), F.floor(F.col("ce") * STEPS).alias("step"))
-    counted = steps.groupBy("model", "step").agg(F.count(F.lit(1)).alias("n"))
-    # A window over steps of 1/1000 nat: their number does not depend on the input.
-    by_model = Window.partitionBy("model")
-    passed = F.sum("n").over(by_model.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    enough = counted.withColumn("passed", passed).withColumn("total", F.sum("n").over(by_model)).filter(F.col("passed") >= quantile * F.col("total"))
-    return enough.groupBy("model").agg(((F.min("step") + 1) / STEPS + float(np.log(MARGIN))).alias("bound"))
+    # Its buffer holds counts by step of 1/1000 nat: their number does not depend on the input.
+    found = steps.groupBy("model").agg(F.expr(f"percentile_disc({quantile}) WITHIN GROUP (ORDER BY step)").alias("step"))
+    return found.select("model", ((F.col("step") + 1) / STEPS + float(np.log(MARGIN))).alias("bound"))
 
 
 def _judged(rows: DataFrame, at: str, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
