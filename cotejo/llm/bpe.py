@@ -38,6 +38,9 @@ def byte_alphabet() -> dict[int, str]:
 class MergeAutomaton:
     """Tables of the automaton over token ids, and the walk that finds a word's accepted path."""
 
+    #: Transitions kept at once.
+    KNOWN = 2_000_000
+
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         self.label = {i: t for t, i in vocab.items()}
         self.vocab, self.suffix = vocab, suffix
@@ -82,6 +85,8 @@ class MergeAutomaton:
     def step(self, state: int, token: int) -> bool:
         key = (state, token)
         if (ok := self.known.get(key)) is None:
+            if len(self.known) >= self.KNOWN:
+                self.known.clear()
             ok = self.known[key] = self._has_arc(state, token)
         return ok
 
