@@ -17,6 +17,10 @@ from cotejo.spec.validate import validate
 from cotejo.spec.writers import render_lines, write_lines, xml_schema
 
 
+#: Findings that are printed.
+SHOWN = 1000
+
+
 def _pairs(given: list[str]) -> list[tuple[str, str]]:
     return [tuple(x.split("=", 1)) if "=" in x else (x, x) for x in given]
 
@@ -67,9 +71,11 @@ def main(args: list[str]) -> int:
     if given.command == "check":
         print("\n".join(problems) or "no problems")
         return int(bool(problems))
-    found = validate(read_records(spark, given.path, layout), layout, spark).orderBy("line", "origin").limit(1000).collect()
-    for f in found:
+    found = validate(read_records(spark, given.path, layout), layout, spark).orderBy("line", "origin").limit(SHOWN + 1).collect()
+    for f in found[:SHOWN]:
         print(" ".join(str(x) for x in (f.severity, f.origin, f.line, f.record_type, f.field, f.rule, f.message) if x is not None))
+    if len(found) > SHOWN:
+        print(f"more than {SHOWN} findings; the first are shown")
     return int(bool(found))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,19 +29,22 @@ class PairResult:
     def equal(self) -> DataFrame:
         return self.matched.filter(F.col("differences") == "").drop("differences")
 
+    def counts(self, a: DataFrame, b: DataFrame, key_a: list[str], key_b: list[str]) -> DataFrame:
+        """(measure, n), all counted in one job."""
+        told = self.matched.select(F.when(F.col("differences") != "", F.lit("in both, different")).otherwise(F.lit("in both, equal")).alias("measure"))
+        parts = {
+            "rows A": a, "rows B": b, "only in A": self.only_a, "only in B": self.only_b,
+            "repeated keys in A": self.duplicates_a.select(pair_key(key_a)).distinct(), "repeated keys in B": self.duplicates_b.select(pair_key(key_b)).distinct(),
+        }
+        rows = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("measure")) for name, df in parts.items()], told)
+        names = a.sparkSession.createDataFrame([(n,) for n in (*parts, "in both, different", "in both, equal")], "measure string")
+        counted = rows.groupBy("measure").agg(F.count(F.lit(1)).alias("n"))
+        return F.broadcast(names).join(counted, "measure", "left").select("measure", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
     def summary(self, a: DataFrame, b: DataFrame, key_a: list[str], key_b: list[str]) -> dict[str, object]:
-        return {
-            "rows A": a.count(),
-            "rows B": b.count(),
-            "only in A": self.only_a.count(),
-            "only in B": self.only_b.count(),
-            "in both, different": self.differences.count(),
-            "in both, equal": self.equal.count(),
-            "repeated keys in A": self.duplicates_a.select(pair_key(key_a)).distinct().count(),
-            "repeated keys in B": self.duplicates_b.select(pair_key(key_b)).distinct().count(),
-            "key": f"{'+'.join(key_a)} <-> {'+'.join(key_b)}",
-            "tolerance": self.tolerance,
-        }
+        order = ("rows A", "rows B", "only in A", "only in B", "in both, different", "in both, equal", "repeated keys in A", "repeated keys in B")
+        counted = {r.measure: r.n for r in self.counts(a, b, key_a, key_b).collect()}
+        return {n: counted[n] for n in order} | {"key": f"{'+'.join(key_a)} <-> {'+'.join(key_b)}", "tolerance": self.tolerance}
 
 
 def repeated_rows(df: DataFrame, key: str = "_key") -> DataFrame:

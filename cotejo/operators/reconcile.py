@@ -162,6 +162,15 @@ class Reconciliation:
     def differences(self) -> DataFrame:
         return self.matrix.filter("has_diff").select("key", "differences")
 
+    @property
+    def universe(self) -> DataFrame:
+        """The matrix in the order of its keys' text, for readers of the whole; the sort is a range shuffle."""
+        return self.matrix.orderBy("key")
+
+    @property
+    def ordered_differences(self) -> DataFrame:
+        return self.differences.orderBy("key")
+
     def only(self, state: str) -> DataFrame:
         return self.matrix.filter(F.col("state") == state)
 

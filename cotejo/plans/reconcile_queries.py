@@ -9,7 +9,7 @@ from cotejo.functions.text import key_form
 from cotejo.operators.controls import Control, control_counts, control_failures
 from cotejo.operators.filters import Filter
 from cotejo.operators.lookup import FOUND, Lookup, apply_lookups, match_rates
-from cotejo.operators.pairs import reconcile_pair
+from cotejo.operators.pairs import PairResult, reconcile_pair
 from cotejo.operators.reconcile import Group, GroupFile, Reconciliation, build, group_statistics, per_key, reconcile
 from cotejo.plans.fixtures import SIDES_SQL, bank, ledger, position, short_number, table
 
@@ -120,11 +120,15 @@ SELECT *, differences <> '' AS has_diff FROM t
 """
 
 
-def _pair(spark: SparkSession, sf_dir: str):
+def pair_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, PairResult]:
     a = table(spark, sf_dir, "customer").select(F.format_string("%06d", "c_custkey").alias("code"), F.col("c_nationkey").cast("string").alias("nation"), F.format_string("%.2f", "c_acctbal").alias("balance"), position("c_custkey"))
     b = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 17).cast("string").alias("ref"), F.col("s_nationkey").cast("string").alias("country"), F.translate(F.format_string("%.2f", "s_acctbal"), ".", ",").alias("saldo"), position("s_suppkey"))
     b = b.unionByName(b.filter("cast(ref AS int) < 200").withColumn("_pos", F.struct((F.col("_pos.s_suppkey") + 1_000_000).alias("s_suppkey"))))
-    return reconcile_pair(a, b, ["code"], ["ref"], [("nation", "country"), ("balance", "saldo")], "0.01")
+    return a, b, reconcile_pair(a, b, ["code"], ["ref"], [("nation", "country"), ("balance", "saldo")], "0.01")
+
+
+def _pair(spark: SparkSession, sf_dir: str) -> PairResult:
+    return pair_sides(spark, sf_dir)[2]
 
 
 _PAIR_SQL = """

@@ -56,12 +56,20 @@ def file_head(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
-def read_csv(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None, missing: tuple[str, ...] = MISSING) -> DataFrame:
-    """All columns as text, with `_pos` in file order; missing cells are null. Separator and encoding are told or sniffed."""
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether some line holds an odd number of quotation marks, as where a quoted cell goes on in the next line."""
+    marks = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.text(path).filter(marks % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None, missing: tuple[str, ...] = MISSING, quoted_breaks: bool | None = None) -> DataFrame:
+    """All columns as text, with `_pos` in file order; missing cells are null. Separator, encoding and whether quoted cells hold
+    line breaks are told or found. Files with such cells are read whole by a task each, others in splits."""
     head = file_head(spark, path) if separator is None or encoding is None else b""
+    quoted_breaks = has_quoted_breaks(spark, path) if quoted_breaks is None else quoted_breaks
     df = (
         spark.read.option("header", True).option("inferSchema", False).option("sep", separator or sniff_separator(head)).option("encoding", encoding or sniff_encoding(head))
-        .option("multiLine", False).option("escape", '"').option("ignoreLeadingWhiteSpace", False).csv(path)
+        .option("multiLine", quoted_breaks).option("escape", '"').option("ignoreLeadingWhiteSpace", False).csv(path)
     )
     names = [c.lstrip("﻿") for c in df.columns]
     cells = [F.when(~F.col(f"`{c}`").isin(*missing), F.col(f"`{c}`")).alias(n) for c, n in zip(df.columns, names)]
@@ -134,16 +142,16 @@ def stripped(df: DataFrame) -> DataFrame:
     return df.select(*[strip(c).alias(c) if t == "string" and not c.startswith("_") else F.col(c) for c, t in df.dtypes])
 
 
-def write_tables(frames: dict[str, DataFrame], path: str, limit: int = 200_000, format_: str = "parquet", order: dict[str, list[str]] | None = None) -> DataFrame:
-    """Each frame as a folder under path, cut to `limit` rows after its order; returns (table, n_rows, written)."""
+def write_tables(frames: dict[str, DataFrame], path: str, limit: int | None = None, format_: str = "parquet", order: dict[str, list[str]] | None = None) -> DataFrame:
+    """Each frame as a folder under path, whole, or cut to `limit` rows after its order, as worksheets need; returns (table, n_rows, written)."""
     notes = []
     spark = next(iter(frames.values())).sparkSession
     for name, df in frames.items():
         n = df.count()
         rows = df.orderBy(*order[name]) if order and name in order else df
-        rows = rows.limit(limit) if n > limit else rows
+        rows = rows.limit(limit) if limit is not None and n > limit else rows
         rows.write.mode("overwrite").format(format_).option("header", True).save(f"{path}/{name[:31]}")
-        notes.append((name[:31], n, min(n, limit)))
+        notes.append((name[:31], n, n if limit is None else min(n, limit)))
     return spark.createDataFrame(notes, "table string, n_rows long, written long")
 
 
