@@ -180,8 +180,9 @@ def _discount(n: str) -> str:
 
 
 def train(texts: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataFrame], DataFrame]:
-    """(model, text) to the tables of the models: by order k, (model, gram, p) of the seen n-grams and (model, context, bow), the
-    weight that a context leaves to the order below; and (model, unknown), the probability of a character never seen."""
+    """(model, text) to the stored tables of the models: by order k, (model, gram, p) of the seen n-grams and (model, context,
+    kinds, total, bow), the weight that a context leaves to the order below; and (model, unknown), the probability of a
+    character never seen."""
     arrow_batches(texts.sparkSession, 1000)
     counted = texts.mapInArrow(lean(_count), "model string, gram string, n long")
     own = stage_table(counted.groupBy("model", "gram").agg(F.sum("n").alias("n")), "grams")
@@ -199,8 +200,8 @@ def train(texts: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataFrame],
         of = levels[k].groupBy("model").agg(*[F.count_if(F.col("n") == j).cast("double").alias(f"n{j}") for j in (1, 2, 3, 4)], F.count(F.lit(1)).alias("kinds"))
         y = "if(n1 + 2 * n2 > 0, n1 / (n1 + 2 * n2), 0.5D)"
         forms = [f"if(n{j} > 0, least({j}D, greatest(0D, {j} - {j + 1} * {y} * n{j + 1} / n{j})), {j} * 0.5D) AS d{j}" for j in (1, 2, 3)]
-        of = small_side(stage_table(of.selectExpr("model", "kinds", *forms), f"discounts-{k}"))
-        cells = levels[k].join(of, "model").withColumn("d", F.expr(_discount("n"))).withColumn("context", F.expr(f"substring(gram, 1, {k - 1})"))
+        of = stage_table(of.selectExpr("model", "kinds", *forms), f"discounts-{k}")
+        cells = levels[k].join(small_side(of), "model").withColumn("d", F.expr(_discount("n"))).withColumn("context", F.expr(f"substring(gram, 1, {k - 1})"))
         contexts = cells.groupBy("model", "context", "kinds").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
         contexts = stage_table(contexts.select("model", "context", "kinds", "total", (F.col("left") / F.col("total")).alias("bow")), f"contexts-{k}")
         joined = cells.drop("kinds").join(contexts, ["model", "context"])
@@ -213,7 +214,8 @@ def train(texts: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataFrame],
             joined = joined.withColumn("suffix", F.expr("substring(gram, 2)")).join(below, ["model", "suffix"])
             lower = F.col("bow") * F.col("below")
         seen[k] = stage_table(joined.select("model", "gram", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + lower).alias("p")), f"seen-{k}")
-        backoff[k] = contexts.select("model", "context", "bow")
+        backoff[k] = contexts
+        release(of)
     release(*levels.values())
     return seen, backoff, unknown
 
@@ -262,7 +264,7 @@ def _judged(rows: DataFrame, at: str, labels: DataFrame, id_col: str, text_col:
     blocked = docs.withColumn("block", F.shiftright("_at", BLOCK_BITS))
     asked = stage_table(blocked.filter("text <> ''").select("block", "model", "text").mapInArrow(lean(_ask), "block long, model string, gram string"), "asked")
     known = stage_table(log_probabilities(asked.select("model", "gram").distinct(), *model), "answers")
-    release(*model[0].values())
+    release(*model[0].values(), *model[1].values(), model[2])
     packed = blocked.select("block", "_at", "_doc", "lang", "model", "text").mapInArrow(lean(_pack), "block long, rows binary")
     answers = asked.join(known, ["model", "gram"])
     scored = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "_at long, _doc long, lang string, model string, n_chars long, ce double")
